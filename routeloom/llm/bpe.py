@@ -231,10 +231,10 @@ def unknown_to_library(ranks: dict[bytes, int], pattern: str) -> str:
     import tiktoken
 
     of = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    word = regex.compile(r"[\p{L}\p{N}]").match
     joined = of.encode_ordinary("a'll")[-1]
-    new = (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
-    return "".join(c for c in new if unicodedata.category(c) == "Cn" and word(c) and of.encode_ordinary(c + "'ll")[-1] != joined)
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    words = regex.findall(r"[\p{L}\p{N}]", every)
+    return "".join(c for c in words if unicodedata.category(c) == "Cn" and of.encode_ordinary(c + "'ll")[-1] != joined)
 
 
 class Codec:
@@ -245,7 +245,7 @@ class Codec:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         unknown = unknown_to_library(ranks, pattern)
         signs = "[" + "".join(map(regex.escape, unknown)) + "]"
-        self.unknown = regex.compile(signs).search if unknown else lambda _: None
+        self.first_unknown = min(unknown, default=chr(0x10FFFF))
         own = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|" + signs + ")")
         for kind in "LN":
             own = regex.sub(rf" \?\\p\{{{kind}\}}\+", lambda m, k=kind: " ?[^\\P{" + k + "}" + signs[1:] + "+", own)
@@ -274,7 +274,7 @@ class Codec:
         return out
 
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        split = [(c, [p.encode("utf-8", "surrogatepass") for p in (self.find_old if not c.isascii() and self.unknown(c) else self.find)(c)]) for c in parts]
+        split = [(c, [p.encode("utf-8", "surrogatepass") for p in (self.find if c.isascii() or max(c) < self.first_unknown else self.find_old)(c)]) for c in parts]
         ids = self.pieces(list({p for _, ps in split for p in ps}))
         return {c: b"".join([ids[p] for p in ps]) for c, ps in split}
 
