@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, quality, repeats, token_files, url_rules
+from . import bpe, chat, jaccard, licenses, quality, repeats, token_files, url_rules
 from .common import shared_dir, ship, table
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op1_suffix_array_dedup(spark, sf_dir):
     return repeats.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))

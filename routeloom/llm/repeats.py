@@ -58,7 +58,7 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
             if out is None:
                 out, done = level, width
             else:  # what is done stands to the right
-                n = min(len(level) - done, len(out) - width) if False else len(raw) - width - done + 1
+                n = len(raw) - width - done + 1
                 out = level[:n] * np.uint64(pow(_BASE, done, 2**64)) + out[width : width + n]
                 done += width
         if 2 * width > k:
