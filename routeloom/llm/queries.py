@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, quality, repeats, token_files, url_rules
+from . import bpe, chat, decontam, jaccard, licenses, quality, repeats, token_files, url_rules
 from .common import shared_dir, ship, table
 
 QUERIES: dict = {}
@@ -86,3 +86,10 @@ def op1_suffix_array_dedup(spark, sf_dir):
 @query
 def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.scan(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") > 0)
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"), "x.edits")
