@@ -99,8 +99,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_map, SCHEMA)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(of=F.col) -> Column:
+    return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
 
 
 @dataclass(frozen=True)
@@ -113,8 +113,8 @@ class Condition:
         v = x[self.feature]
         return v >= self.threshold if self.at_least else v <= self.threshold
 
-    def column(self) -> Column:
-        v = F.col(self.feature)
+    def column(self, of=F.col) -> Column:
+        v = of(self.feature)
         return v >= F.lit(self.threshold) if self.at_least else v <= F.lit(self.threshold)
 
 
@@ -183,13 +183,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, precision
     return rules
 
 
-def expression(rules: list[list[Condition]]) -> Column:
-    """True where the first fitting rule, or else the default, keeps the row."""
+def expression(rules: list[list[Condition]], of=F.col) -> Column:
+    """True where the first fitting rule, or else the default, keeps the row. of: a feature's column."""
     out = None
     for r in rules:
-        both = r[0].column()
+        both = r[0].column(of)
         for c in r[1:]:
-            both = both & c.column()
+            both = both & c.column(of)
         out = F.when(both, F.lit(False)) if out is None else out.when(both, F.lit(False))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
@@ -221,3 +221,21 @@ def judge(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """doc_id, the five counts, base_failed, kept and the rates."""
     df = statistics(docs).withColumn("base_failed", base_failed())
     return df.withColumn("kept", ~F.col("base_failed") & expression(rules)).select("doc_id", *COUNTS, "base_failed", "kept", *RATES)
+
+
+def kept(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+    """The rows of docs that pass, with all their columns."""
+    at, name = docs.columns.index("text"), "_quality"
+    while name in docs.columns:
+        name += "_"
+    kind = pa.struct([*((c, pa.int64()) for c in COUNTS), *((c, pa.float64()) for c in RATES)])
+
+    def go(batches):
+        for b in batches:
+            rows = [dict(zip((*COUNTS, *RATES), text_statistics(t))) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], names=[*b.schema.names, name])
+
+    fields = ", ".join([f"{c}: long" for c in COUNTS] + [f"{c}: double" for c in RATES])
+    schema = docs.limit(0).withColumn(name, F.lit(None).cast(f"struct<{fields}>")).schema
+    of = lambda f: F.col(name)[f]
+    return docs.mapInArrow(go, schema).where(~base_failed(of) & expression(rules, of)).drop(name)

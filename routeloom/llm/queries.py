@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, jaccard, licenses, quality, repeats, token_files, url_rules
+from . import bpe, chat, decontam, jaccard, licenses, quality, repeats, token_files, toxicity, url_rules
 from .common import shared_dir, ship, table
 
 QUERIES: dict = {}
@@ -93,3 +93,11 @@ def op6_benchmark_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.scan(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") > 0)
     return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"), "x.edits")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.learned_from(docs, labels.where(~held_out))
+    return toxicity.scored(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
