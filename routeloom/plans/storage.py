@@ -1,0 +1,24 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="shared")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write and read back: cuts the lineage, and survives lost executors."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
