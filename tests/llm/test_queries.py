@@ -1,0 +1,20 @@
+from collections import Counter
+
+import duckdb
+import pytest
+
+from routeloom.llm.queries import ORACLE, QUERIES
+
+DIR = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
+    want = con.sql(ORACLE[name])
+    df = QUERIES[name](spark, DIR)
+    assert sorted(df.columns) == sorted(want.columns)
+    at = [want.columns.index(c) for c in df.columns]
+    assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
