@@ -38,10 +38,21 @@ class FormatError(ValueError):
 
 def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of small text files in UTF-8 (with or without mark), else in code page 949."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    good = F.expr("is_valid_utf8(content)")
-    text = F.when(good, F.expr("try_validate_utf8(cast(content as string))")).otherwise(F.expr("decode(content, 'x-windows-949')"))
-    return files.select("path", F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    files = spark.read.format("binaryFile").load(path).select("path", _decoded("content").alias("text"))
+    return files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")).where("trim(line) <> ''")
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(contents: pd.Series) -> pd.Series:
+    """Spark's own decode() has no code page 949."""
+
+    def one(b):
+        try:
+            return bytes(b).decode("utf-8-sig")
+        except UnicodeDecodeError:
+            return bytes(b).decode("cp949")
+
+    return contents.map(one)
 
 
 def csv(spark: SparkSession, path: str, columns: dict[str, str], exact: bool = False, encoding: str = "UTF-8") -> DataFrame:
