@@ -12,7 +12,7 @@ The suffixes of a large corpus do not fit one array, so strings that can match a
    sends the distinct anchor hashes it holds to their buckets, and hears which other groups hold.
 2. Around each anchor that at least two documents hold, the group cuts the context: all windows
    that picked it. Contexts equal within the group are sent once, with the least id. Where very
-   many groups hold an anchor (a passage in a third of all documents), its windows are sent one by
+   many documents hold an anchor (a passage in a third of all documents), its windows are sent one by
    one and bucketed by their own hash, so that no bucket gets the borders of all its copies.
 3. Each bucket builds the suffix array of its distinct contexts, scans it, and returns spans.
 4. Groups join the spans and cut their texts.
@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-LEAST, ANCHOR = 50, 24
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
-#: Anchors that more groups hold are bucketed window by window.
-HOT_GROUPS = 64
+LEAST, ANCHOR = 50, 28
+GROUP_BYTES, BUCKET_BYTES = 3 << 20, 3 << 20
+#: Anchors that more documents hold are bucketed window by window.
+HOT_DOCS = 20_000
 LAST_ID = 2**63 - 1
 _STEP = 1 << 19  # windows looked at together
 _LOW = np.uint64((1 << 20) - 1)
@@ -211,6 +211,13 @@ class Group:
         # an empty text shares its base with the next one; the last of them holds the bytes
         self.distinct, self.number = np.unique(self.h, return_inverse=True)
 
+    def docs_of_each(self) -> np.ndarray:
+        """Documents that hold each distinct hash."""
+        order = np.lexsort((self.of, self.number))
+        n, d = self.number[order], self.of[order]
+        new = np.concatenate([[True], (n[1:] != n[:-1]) | (d[1:] != d[:-1])]) if len(n) else np.zeros(0, bool)
+        return np.bincount(n[new], minlength=len(self.distinct))
+
     def by_bucket(self, buckets: int):
         """Bucket, then the places of its hashes among the distinct ones."""
         b = bucket_of(self.distinct, buckets)
@@ -228,17 +235,17 @@ def _table(schema: pa.Schema, columns: list) -> pa.Table:
     return pa.table([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
-_HASHES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("hashes", pa.binary())])
+_HASHES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
 _SIDE = pa.schema([("grp", pa.int64()), ("id", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 _PIECES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("sizes", pa.binary()), ("blob", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("spans", pa.binary())])
 SIDE_SQL = "grp long, id long, bucket long, data binary"
 
 
 def _spans_bytes(spans: list[tuple[int, int, int]]) -> bytes:
-    return np.array(spans, "<i8").tobytes() if spans else b""
+    return np.array(spans, "<u4").tobytes() if spans else b""
 
 
-def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool = False, carry: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool = False, carry: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_docs: int = HOT_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed); then, if
     asked for, kept (the text that is left, without characters that a cut has split) and carried columns."""
     if not 0 < k <= least:
@@ -258,15 +265,20 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
         if text.num_rows:
             g, me = Group(text, _firsts(side)), text.column("grp")[0].as_py()
             g.find(least, k)
-            rows = [(b, me, g.distinct[at].astype("<u8").tobytes()) for b, at in g.by_bucket(buckets)]
-        return _table(_HASHES, list(zip(*rows)) or [()] * 3)
+            docs = np.minimum(g.docs_of_each(), 255).astype(np.uint8)
+            # the bucket and 40 bits tell hashes apart; a chance match costs a look at the text, no more
+            rows = [(b, me, g.distinct[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), docs[at].tobytes()) for b, at in g.by_bucket(buckets)]
+        return _table(_HASHES, list(zip(*rows)) or [()] * 4)
 
     def shared(t: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
-        _, number, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        held = count[number]
-        marks = ((held > 1).astype(np.uint8) + (held > hot_groups)).astype(np.uint8)
-        ends = np.cumsum([len(r) for r in rows])
+        rows = t.column("hashes").to_pylist()
+        sizes = [len(x) // 5 for x in rows]
+        wide = np.zeros((sum(sizes), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 5)
+        _, number, count = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
+        docs = np.bincount(number, np.frombuffer(b"".join(t.column("docs").to_pylist()), np.uint8))
+        marks = ((count > 1).astype(np.uint8) + ((count > 1) & (docs > hot_docs)))[number].astype(np.uint8)
+        ends = np.cumsum(sizes)
         data = [m.tobytes() for m in np.split(marks, ends[:-1])]
         return _table(_SIDE, [t.column("grp").to_pylist(), [None] * len(rows), t.column("bucket").to_pylist(), data])
 
@@ -280,38 +292,35 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
         for b, at in g.by_bucket(buckets):
             if b in told:
                 mark[at] = np.frombuffer(told[b], np.uint8)
-        # anchors of several documents of this group
-        order = np.lexsort((g.of, g.number))
-        n, d = g.number[order], g.of[order]
-        several = (n[1:] == n[:-1]) & (d[1:] != d[:-1])
-        mark[n[1:][several]] = np.maximum(mark[n[1:][several]], 1)
+        mark = np.maximum(mark, g.docs_of_each() > 1)
         use = np.flatnonzero(mark[g.number] > 0)
-        found: dict[tuple, list] = {}
+        found: dict[bytes, list] = {}  # contexts: key, document, places
+        windows: dict[bytes, list] = {}  # those of hot anchors
         spans: list[tuple[int, int, int]] = []
+        docs_of, base_of, blob = g.doc.tolist(), g.base.tolist(), g.blob
 
-        def add(key: int, row: int, a: int, b: int) -> None:
-            s, doc = g.blob[a:b], int(g.doc[row])
-            at = a - int(g.base[row])
-            old = found.get((key, s))
+        def add(to: dict[bytes, list], key: int, row: int, a: int, b: int) -> None:
+            s, at = blob[a:b], a - base_of[row]
+            old = to.get(s)
             if old is None:
-                found[key, s] = [doc, [(row, at)]]
-            elif old[0] == doc:
-                old[1].append((row, at))
+                to[s] = [key, docs_of[row], row, at]
+            elif old[1] == docs_of[row]:
+                old += (row, at)
             else:
                 spans.append((row, at, at + b - a))
 
         hot: list[tuple[int, int, int]] = []
         for key, row, a, b, m in zip(g.h[use].tolist(), g.of[use].tolist(), g.first[use].tolist(), (g.last[use] + least).tolist(), mark[g.number[use]].tolist()):
             if m < 2:
-                add(key, row, a, b)
+                add(found, key, row, a, b)
             else:
                 hot.append((row, a, b))
         for row, a, b in hot:
             for key, s in zip(gram_hashes(np.frombuffer(g.blob, np.uint8)[a:b], least).tolist(), range(a, b - least + 1)):
-                add(key, row, s, s + least)
-        keys = np.array([x[0] for x in found], np.uint64)
+                add(windows, key, row, s, s + least)
+        items = [*found.items(), *windows.items()]
+        keys = np.array([x[0] for _, x in items], np.uint64)
         b_of = bucket_of(keys, buckets)
-        items = list(found.items())
         rows = []
         order = np.argsort(b_of, kind="stable")
         cut = np.flatnonzero(np.diff(b_of[order], prepend=-1))
@@ -320,9 +329,9 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
             some = [items[x] for x in at.tolist()]
             rows.append((
                 int(b_of[at[0]]), me,
-                np.array([len(x[0][1]) for x in some], "<u2").tobytes(), b"".join(x[0][1] for x in some), keys[at].astype("<u8").tobytes(),
-                np.array([x[1][0] for x in some], "<i8").tobytes(), np.array([len(x[1][1]) for x in some], "<u4").tobytes(),
-                np.array([p for x in some for p in x[1][1]], "<u4").tobytes(), _spans_bytes(spans) if not rows else b"",
+                np.array([len(s) for s, _ in some], "<u2").tobytes(), b"".join(s for s, _ in some), keys[at].astype("<u8").tobytes(),
+                np.array([x[1] for _, x in some], "<i8").tobytes(), np.array([len(x) // 2 - 1 for _, x in some], "<u4").tobytes(),
+                np.array([p for _, x in some for p in x[2:]], "<u4").tobytes(), _spans_bytes(spans) if not rows else b"",
             ))
         return _table(_PIECES, list(zip(*rows)) or [()] * 9)
 
@@ -330,22 +339,29 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
         n_rows = t.num_rows
         out: list[list[tuple[int, int, int]]] = [[] for _ in range(n_rows)]
         columns = {c: t.column(c).to_pylist() for c in _PIECES.names}
-        # distinct strings: (key, bytes) -> entries (row of the table, doc, places)
-        found: dict[tuple[int, bytes], list] = {}
+        # distinct strings of each key -> their entries, flat: document, row of the table, number and places
+        groups_of: dict[int, dict[bytes, list]] = {}
         for r in range(n_rows):
             sizes, keys, owners, counts = (np.frombuffer(columns[c][r], d).tolist() for c, d in (("sizes", "<u2"), ("keys", "<u8"), ("docs", "<i8"), ("counts", "<u4")))
-            places = np.frombuffer(columns["places"][r], "<u4").reshape(-1, 2).tolist()
+            places = np.frombuffer(columns["places"][r], "<u4").tolist()
             blob, a, p = columns["blob"][r], 0, 0
             for size, key, doc, count in zip(sizes, keys, owners, counts):
-                found.setdefault((key, blob[a : a + size]), []).append((doc, r, places[p : p + count]))
-                a, p = a + size, p + count
-        groups_of: dict[int, list[tuple[bytes, list]]] = {}
-        for (key, s), entries in found.items():
+                groups_of.setdefault(key, {}).setdefault(blob[a : a + size], []).append((doc, r, places[p : p + 2 * count]))
+                a, p = a + size, p + 2 * count
+            columns["blob"][r] = columns["keys"][r] = columns["places"][r] = None
+
+        def give(r: int, places: list[int], a: int, b: int) -> None:
+            for row, at in zip(places[::2], places[1::2]):
+                out[r].append((row, at + a, at + b))
+
+        def first_only(s: bytes, entries: list) -> list:
+            """Equal strings are one leaf: its first document keeps it, the others are covered whole."""
             first = min(x[0] for x in entries)
-            for doc, r, places in entries:  # equal strings are one leaf; its first document keeps it
+            for doc, r, places in entries:
                 if doc > first:
-                    out[r].extend((row, at, at + len(s)) for row, at in places)
-            groups_of.setdefault(key, []).append((s, [x for x in entries if x[0] == first]))
+                    give(r, places, 0, len(s))
+            return [x for x in entries if x[0] == first]
+
         some: list[tuple[bytes, list]] = []
         size = 0
 
@@ -353,13 +369,14 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
             owner = np.array([entries[0][0] for _, entries in some], np.int64)
             for i, a, b in covered([s for s, _ in some], owner, least):
                 for _, r, places in some[i][1]:
-                    out[r].extend((row, at + a, at + b) for row, at in places)
+                    give(r, places, a, b)
 
-        for members in groups_of.values():  # equal windows have equal keys: whole keys are sorted together
+        for strings in groups_of.values():  # equal windows have equal keys: whole keys are sorted together
+            members = [(s, first_only(s, entries) if len(entries) > 1 else entries) for s, entries in strings.items()]
             if len(members) > 1:
                 some += members
                 size += sum(len(s) - least + 1 for s, _ in members)
-                if size > 150_000:
+                if size > 60_000:
                     scan()
                     some, size = [], 0
         if some:
@@ -374,7 +391,7 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
         g = Group(text, _firsts(side))
         first_ids = _firsts(side)
         joined = b"".join(x for x in side.column("data").to_pylist() if x)
-        spans = np.frombuffer(joined, "<i8").reshape(-1, 3)
+        spans = np.frombuffer(joined, "<u4").reshape(-1, 3)
         spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
         of: dict[int, list[list[int]]] = {}
         for row, a, b in spans.tolist():
@@ -411,7 +428,7 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
             names.append(f"carry_{f.name}")
         return pa.table(columns, names=names)
 
-    hashes = texts.cogroup(firsts.groupBy("grp")).applyInArrow(send_hashes, "bucket long, grp long, hashes binary")
+    hashes = texts.cogroup(firsts.groupBy("grp")).applyInArrow(send_hashes, "bucket long, grp long, hashes binary, docs binary")
     told = hashes.groupBy("bucket").applyInArrow(shared, SIDE_SQL)
     pieces = texts.cogroup(firsts.union(told).groupBy("grp")).applyInArrow(send_pieces, "bucket long, grp long, sizes binary, blob binary, keys binary, docs binary, counts binary, places binary, spans binary")
     spans = pieces.groupBy("bucket").applyInArrow(judge, SIDE_SQL)
