@@ -8,7 +8,9 @@ skips the rest. Reading: ``start`` is the number of ids in all rows before, from
 a running sum inside each file.
 
 Chunks between spaces, tabs and line ends are encoded one by one and kept in a bounded cache; the
-tokenizer's word pattern never crosses white space, so that changes no id. Null and empty texts
+tokenizer's word pattern never crosses white space, so that changes no id. Chunks of printable
+characters below U+0250, where normalising is lower-casing and nothing else, are cut by the file's
+own word pattern and go straight to the library's model; all others go through the whole library. Null and empty texts
 have the end id only. Rows with equal doc_id are all written; their order is by text. Input
 columns other than doc_id and text are not written.
 """
@@ -16,12 +18,15 @@ columns other than doc_id and text are not written.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +36,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 8 << 20
 CACHED, CACHED_CHARS = 600_000, 64
 _WORDS = re.compile(r"[^ \t\r\n]+").findall
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, _Tokenizer] = {}
 
 OPTIONS = {
     "parquet.block.size": str(ROW_GROUP_BYTES),
@@ -46,36 +51,71 @@ OPTIONS = {
 }
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class _Tokenizer:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        specials = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        #: Finds what needs the whole library: other characters, and special tokens' texts.
+        self.other = re.compile("|".join(["[^!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]", *specials])).search
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        norm = [n["type"] for n in parts["normalizer"]["normalizers"]]
+        split, level = parts["pre_tokenizer"]["pretokenizers"]
+        #: Whether the short way below is what this file says.
+        self.plain = norm == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"] and level["type"] == "ByteLevel" and not level["use_regex"]
+        self.find = regex.compile(split["pattern"]["Regex"]).findall if self.plain else None
+        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in keep]
+        self.sign = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, p: str) -> bytes:
+        signs = p if p.isascii() else "".join([self.sign[b] for b in p.encode()])
+        ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        if len(p) <= CACHED_CHARS:
+            if len(self.pieces) >= CACHED:
+                self.pieces.clear()
+            self.pieces[p] = ids
+        return ids
+
+    def word(self, w: str) -> bytes:
+        """Ids of a text without the white space that texts are cut at."""
+        if self.plain and not self.other(w):
+            get, new = self.pieces.get, self._piece
+            return b"".join([get(p) or new(p) for p in self.find(w.lower())])
+        return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
+
+
+def _tokenizer(path: str) -> _Tokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _Tokenizer(path)
     return _TOKENIZERS[path]
 
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
-    tok, cache = _tokenizer(path)
-    cut = [_WORDS(t) if _OTHER.search(t) else t.split(" ") for t in texts]
-    new = list({w for ws in cut for w in ws if w not in cache})
-    found: dict[str, bytes] = {}
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, tok.encode_batch(some, add_special_tokens=False)))
-    if len(cache) + len(found) > CACHED:
-        found |= {w: cache[w] for ws in cut for w in ws if w in cache}
+    tok = _tokenizer(path)
+    cache, word = tok.words, tok.word
+    cut = [_WORDS(t) if _OTHER.search(t) else t.replace("\n", " ").split(" ") for t in texts]
+    new = set().union(*cut).difference(cache)
+    for w in new:
+        cache[w] = word(w)
+    out = [b"".join(map(cache.__getitem__, ws)) for ws in cut]
+    if len(cache) > CACHED:
         cache.clear()
-    for w, x in found.items():
-        if len(w) <= CACHED_CHARS and len(cache) < CACHED:
-            cache[w] = x
-    long = {w: x for w, x in found.items() if w not in cache}
-    get = cache.get
-    return [b"".join([get(w) or long.get(w, b"") for w in ws]) if long else b"".join([cache[w] for w in ws]) for ws in cut]
+    else:
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del cache[w]
+    return out
 
 
-_OTHER = re.compile(r"[\t\r\n]")
+_OTHER = re.compile(r"[\t\r]")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
