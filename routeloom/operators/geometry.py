@@ -91,3 +91,18 @@ def relation_score(lines: DataFrame, stops: DataFrame) -> DataFrame:
     near = project(stops.join(lines.select("route_id", "line_id").distinct(), "route_id").select("line_id", "stop_id", "lon", "lat", "weight"), segments(lines))
     w = stops.select("stop_id", "weight").distinct()
     return near.join(w, "stop_id").groupBy("line_id").agg((F.sum(F.col("distance_m") * F.col("weight")) / F.sum("weight")).alias("score"))
+
+
+def inside_box(lines: Column, south: float, north: float, west: float, east: float) -> Column:
+    """Lines (arrays of lon, lat) with two points or more, all of them in the box."""
+
+    def fits(p):
+        return p["lat"].between(south, north) & p["lon"].between(west, east)
+
+    return F.filter(lines, lambda line: (F.size(line) >= 2) & F.forall(line, fits))
+
+
+def endpoint_gap(a: Column, b: Column) -> Column:
+    """Least distance between the ends of two lines."""
+    ends = [(F.element_at(a, i), F.element_at(b, j)) for i in (1, -1) for j in (1, -1)]
+    return F.least(*[haversine(p["lat"], p["lon"], q["lat"], q["lon"]) for p, q in ends])

@@ -69,3 +69,32 @@ def daily_quota(calls: DataFrame, day: str, order: list[str], limit: int) -> Dat
     """Marks the calls within each day's budget."""
     w = Window.partitionBy(day).orderBy(*order)
     return calls.withColumn("attempt", F.row_number().over(w)).withColumn("reserved", F.col("attempt") <= limit)
+
+
+def quarantined(active: DataFrame, evidence: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The pointer without rows whose active version the evidence names; a version that has changed since stays."""
+    return active.join(evidence.select(*keys, version).distinct(), [*keys, version], "left_anti")
+
+
+def feed_counts(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each table of a feed, by one job over all of them."""
+    both = None
+    for name, df in tables.items():
+        one = df.select(F.lit(name).alias("name"))
+        both = one if both is None else both.unionAll(one)
+    found = {r["name"]: r["count"] for r in both.groupBy("name").count().collect()}
+    return {name: found.get(name, 0) for name in tables}
+
+
+def activate_feed(tables: dict[str, DataFrame], expected: dict[str, int], root: str, feed_id: str, provider: str) -> None:
+    """Write a feed's tables under its id, and point the provider to it once all counts are as expected.
+
+    A second activation of the same feed writes nothing anew; a wrong count leaves the pointer alone."""
+    counts = feed_counts(tables)
+    if wrong := {n: (counts[n], expected.get(n)) for n in counts if counts[n] != expected.get(n)}:
+        raise ValueError(f"row counts differ: {wrong}")
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}/feed_id={feed_id}")
+    # one small file a provider, so that one provider's swap never touches another's
+    spark.createDataFrame([(provider, feed_id)], "provider string, feed_id string").coalesce(1).write.mode("overwrite").parquet(f"{root}/active/provider_key={provider}")

@@ -86,3 +86,11 @@ def test_geometry(spark):
     a = spark.createDataFrame([(list(range(1, 8)), [1, 1, 2, 2, 1])], "a array<int>, b array<int>")
     x = a.select(geometry.chunks(F.col("a"), 3).alias("c"), geometry.deduped_line(F.col("b")).alias("d")).first()
     assert x.c == [[1, 2, 3], [3, 4, 5], [5, 6, 7]] and x.d == [1, 2, 1]
+
+
+def test_boxes_and_gaps(spark):
+    pt = "struct<lon:double,lat:double>"
+    df = spark.createDataFrame([([[(127.0, 36.0), (127.1, 36.1)], [(127.0, 36.0)], [(127.0, 36.0), (100.0, 36.0)]],)], f"x array<array<{pt}>>")
+    assert len(df.select(geometry.inside_box(F.col("x"), 33, 39, 124, 132)).first()[0]) == 1
+    gap = df.select(geometry.endpoint_gap(F.col("x")[0], F.col("x")[2])).first()[0]
+    assert gap == 0

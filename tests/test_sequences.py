@@ -79,3 +79,22 @@ def test_quarantine_names_the_first_reason(spark):
     df = spark.createDataFrame([(1, 91.0, "a"), (2, 36.0, None), (3, 36.0, "b")], "id int, lat double, name string")
     good, bad = ingest.split(df, [("range", F.col("lat").between(-90, 90)), ("name", F.length("name") > 0)])
     assert [r.id for r in good.collect()] == [3] and {r.id: r.reject_reason for r in bad.collect()} == {1: "range", 2: "name"}
+
+
+def test_quarantine_compares_versions(spark):
+    active = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
+    evidence = spark.createDataFrame([("a", "1"), ("b", "1")], "k string, v string")
+    assert [r.k for r in versions.quarantined(active, evidence, ["k"], "v").collect()] == ["b"]
+
+
+def test_feed_activation(spark, tmp_path):
+    tables = {"stops": spark.range(3), "trips": spark.range(2)}
+    try:
+        versions.activate_feed(tables, {"stops": 3, "trips": 9}, f"{tmp_path}/c", "f1", "p")
+        raise AssertionError
+    except ValueError:
+        assert not (tmp_path / "c").exists()
+    for feed in ("f1", "f2", "f2"):
+        versions.activate_feed(tables, {"stops": 3, "trips": 2}, f"{tmp_path}/c", feed, "p")
+    assert [r.feed_id for r in spark.read.parquet(f"{tmp_path}/c/active").collect()] == ["f2"]
+    assert spark.read.parquet(f"{tmp_path}/c/stops").count() == 6
