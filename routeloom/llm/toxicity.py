@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import portions
 
-MAX_LABELLED = 6000
-MAX_CHARS = 24_000_000  # of the labelled rows' texts, whole texts only
+MAX_LABELLED = 4000
+MAX_CHARS = 16_000_000  # of the labelled rows' texts, whole texts only
 DECAY, WIDE = 0.6, 20
 LANDMARKS = 64
 #: The characters with a number of their own; all others share a few numbers.
@@ -98,12 +98,18 @@ def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """Normalised subsequence kernel of all pairs."""
-    dense = np.zeros((len(b), SIZE**3), np.float32)
-    for i, (u, v) in enumerate(features(b)):
-        dense[i, u] = v
-    return np.stack([(dense[:, u] @ v.astype(np.float32)) if len(u) else np.zeros(len(b), np.float32) for u, v in features(a)]).astype(float) if a else np.zeros((0, len(b)))
+def kernel(a: list[str], b: list[str], block: int = 64) -> np.ndarray:
+    """Normalised subsequence kernel of all pairs; ``block`` words of b are laid out at a time."""
+    left, out = features(a), np.zeros((len(a), len(b)))
+    for at in range(0, len(b), block):
+        some = features(b[at : at + block])
+        dense = np.zeros((SIZE**3, len(some)), np.float32)
+        for i, (u, v) in enumerate(some):
+            dense[u, i] = v
+        for i, (u, v) in enumerate(left):
+            if len(u):
+                out[i, at : at + block] = v.astype(np.float32) @ dense[u]
+    return out
 
 
 def raw_scores(words: list[str], table: np.ndarray) -> np.ndarray:
@@ -189,7 +195,7 @@ def _spread(words: list[str], n: int) -> list[str]:
     words = list(dict.fromkeys(words))
     if len(words) <= n:
         return words
-    words = words[:1500]
+    words = words[:400]
     k = kernel(words, words)
     chosen, near = [0], k[:, 0].copy()
     while len(chosen) < n:
@@ -199,73 +205,83 @@ def _spread(words: list[str], n: int) -> list[str]:
     return [words[i] for i in chosen]
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMARKS) -> Model:
+class Bags:
+    """Units of documents as numbers; equal units are kept once."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+
+    def add(self, text: str | None) -> None:
+        number = self.number
+        self.rows.append(np.array([number.setdefault(u, len(number)) for u in sorted(units(text)) if len(u) >= 3], np.int32))
+
+
+def fit(made: Bags, toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMARKS) -> Model:
     share = float(toxic.mean()) if len(toxic) else 0.0
     none = Model(None, 0.0, 1.0, 0.0, share, [])
     if not len(toxic) or toxic.all() or not toxic.any():
         return none
-    bags = [{u for u in units(t) if len(u) >= 3} for t in texts]
-    bad = [b for b, t in zip(bags, toxic) if t and b]
-    good = [b for b, t in zip(bags, toxic) if not t and b]
+    bags, every = made.rows, list(made.number)
+    bad = [b for b, t in zip(bags, toxic) if t and len(b)]
+    good = [b for b, t in zip(bags, toxic) if not t and len(b)]
     if not bad or not good:
         return none
+    nb, ng = len(bad), len(good)
 
-    def grams(w):
-        w = f"^{w}"
-        return {w[i : i + 4] for i in range(len(w) - 3)}
+    def grams(i):
+        w = f"^{every[i]}"
+        return {w[j : j + 4] for j in range(len(w) - 3)}
 
     in_bad: Counter = Counter()
     for b in bad:
-        in_bad.update(set().union(*map(grams, b)))
+        in_bad.update(set().union(*map(grams, b.tolist())))
+    # what few toxic documents hold says nothing
+    known = {g for g, n in in_bad.items() if n >= min(3, nb)}
     in_good: Counter = Counter()
     for b in good:
-        in_good.update(g for g in set().union(*map(grams, b)) if g in in_bad)
-    nb, ng = len(bad), len(good)
+        in_good.update(set().union(*(grams(i) & known for i in b.tolist())))
 
-    def lift(w):
-        # log odds of the best gram, with a prior of one document of each kind
-        return max(np.log((in_bad[g] + 0.5) / (nb + 1)) - np.log((in_good[g] + 0.5) / (ng + 1)) if in_bad[g] >= min(3, nb) else -9.0 for g in grams(w))
+    def lift(i):
+        # log odds of the best gram, with a prior of half a document of each kind
+        return max((np.log((in_bad[g] + 0.5) / (nb + 1)) - np.log((in_good[g] + 0.5) / (ng + 1)) for g in grams(i) & known), default=-9.0)
 
-    scored: dict[str, float] = {}
-    for b in bad:
-        for w in b:
-            if w not in scored:
-                scored[w] = lift(w)
-    seen = [{w for w in b if max(in_bad[g] for g in grams(w)) >= min(3, nb)} for b in bad]
-    witness = [max(b, key=lambda w: (scored[w], w)) for b in seen if b]
-    clean = Counter(w for b in good for w in b)
-    rare = sorted(clean, key=lambda w: zlib.crc32(w.encode()))
-    negatives = [w for w, _ in clean.most_common(600)] + rare[:2400]
+    scored = {i: lift(i) for i in set().union(*(b.tolist() for b in bad))}
+    witness = [max(b.tolist(), key=lambda i: (scored[i], every[i])) for b in bad]
+    witness = [i for i in witness if scored[i] > -9.0]
+    n_clean = np.zeros(len(every), np.int64)
+    for b in good:
+        n_clean[b] += 1
+    clean = np.flatnonzero(n_clean)
+    common = clean[np.lexsort((clean, -n_clean[clean]))][:600].tolist()
+    rare = sorted(clean.tolist(), key=lambda i: zlib.crc32(every[i].encode("utf-8", "surrogatepass")))[:2400]
+    negatives = [every[i] for i in dict.fromkeys(common + rare)]
     model = none
-    for r in range(rounds):
-        counts = Counter(w for w in witness if w not in clean)
-        positives = [w for w, _ in counts.most_common()]
+    for _ in range(rounds):
+        counts = Counter(every[i] for i in witness if not n_clean[i])
+        positives = [w for w, _ in counts.most_common(3000)]
         if not positives:
-            return none
+            return model
         negatives = list(dict.fromkeys(negatives))[:6000]
         marks = list(dict.fromkeys([*_spread(positives, landmarks // 2), *_spread(negatives, landmarks - landmarks // 2)]))
         root = _nystroem(marks)
-        words = positives[:3000] + negatives
-        z = kernel(words, marks) @ root
-        y = np.array([1.0] * len(positives[:3000]) + [-1.0] * len(negatives))
-        weight = np.array([float(counts[w]) ** 0.5 for w in positives[:3000]] + [1.0] * len(negatives))
+        z = kernel(positives + negatives, marks) @ root
+        y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
+        weight = np.array([float(counts[w]) ** 0.5 for w in positives] + [1.0] * len(negatives))
         weight[y > 0] *= len(negatives) / weight[y > 0].sum()
         w = _svm(z, y, weight)
-        alpha = root @ w[:-1]
         table = np.zeros(SIZE**3)
-        for a, (u, v) in zip(alpha, features(marks)):
+        for a, (u, v) in zip(root @ w[:-1], features(marks)):
             np.add.at(table, u, a * v)
         model = Model(table, float(w[-1]), 1.0, 0.0, share, marks)
-        every = list({x for b in bags for x in b})
-        score = dict(zip(every, model.unit_scores(every).tolist()))
-        best_bad = [max(b, key=lambda x: (score[x], x)) for b in bad]
-        best_good = [max(b, key=lambda x: (score[x], x)) for b in good]
-        floor = np.quantile([score[x] for x in best_good], 0.9)
+        score = model.unit_scores(every)
+        best_bad, best_good = ([int(b[np.argmax(score[b])]) for b in x] for x in (bad, good))
+        floor = np.quantile(score[best_good], 0.9)
         # a toxic document's witness is its best unit, unless clean documents have such units as well
-        witness = [a if score[a] > floor else None for a in best_bad]
-        witness = [x for x in witness if x is not None]
-        negatives = sorted(set(best_good), key=lambda x: -score[x])[:2000] + negatives
-    top = np.array([max((score[x] for x in b), default=model.bias) for b in bags])
+        witness = [i for i in best_bad if score[i] > floor]
+        hard = sorted(set(best_good), key=lambda i: -score[i])[:2000]
+        negatives = [every[i] for i in hard] + negatives
+    top = np.array([score[b].max() if len(b) else model.bias for b in bags])
     model.slope, model.shift = _logistic(top, toxic.astype(float))
     return model
 
@@ -297,17 +313,17 @@ def learned_from(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED,
     )
     rows = some.collect()  # at most ``limit`` pairs of numbers
     if not rows:
-        return fit([], np.zeros(0, bool))
+        return fit(Bags(), np.zeros(0, bool))
     few = docs.sparkSession.createDataFrame(rows, some.schema)
-    texts, toxic, size = [], [], 0
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    bags, toxic, size = Bags(), [], 0
     for r in found.orderBy("doc_id", "text").toLocalIterator():
         size += len(r["text"] or "")
         if size > chars:
             break
-        texts.append(r["text"])
+        bags.add(r["text"])
         toxic.append(r["toxic"] == 1)
-    return fit(texts, np.array(toxic, bool))
+    return fit(bags, np.array(toxic, bool))
 
 
 _SCORES: dict = {}
