@@ -30,7 +30,7 @@ from .common import portions
 
 NEVER = 1 << 40
 #: Chunks that a worker keeps encoded; at most so many, and none of more than CACHED_CHARS.
-CACHED, CACHED_CHARS = 600_000, 64
+CACHED, CACHED_CHARS = 200_000, 64
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _RISK = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
