@@ -18,7 +18,8 @@ Result: a row for each document with its class (connected texts, named by the le
 number of links to other distinct sets, its representative and that one's copies. Defined results:
 null and empty texts (no words) have no links and are classes of their own; a null doc_id counts
 as larger than all others; an empty table gives no rows; rows with equal doc_id and text are
-copies of each other. Other columns of the input are not carried over.
+copies of each other; rows that share a doc_id but not the text count as one document, whose links
+are those of the text with the least set. Other columns of the input are not carried over.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from .common import partitions, portions, stored
 N, THRESHOLD, RECALL, MOST_HASHES, BLOCK = 5, 0.8, 0.999, 128, 256
 LAST_ID = 2**63 - 1
 _CACHE: dict[str, int] = {}
-_CACHED = 600_000
+_CACHED = 150_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +116,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
                     out.append(sign(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["id", "key", "bands"])
+        _CACHE.clear()  # a worker goes on to other stages
 
     return docs.select("id", "text").mapInArrow(go, "id long, key binary, bands array<long>")
 
@@ -222,8 +224,10 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
         for b in batches:
             x = [shingles(t, n).astype("<u8").tobytes() for texts in portions(b.column("text")) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("comp"), b.column("nb"), pa.array(x, pa.binary())], names=["id", "comp", "nb", "shingles"])
+        _CACHE.clear()
 
-    held = base.join(members, "id").select("id", "comp", "nb", "text").mapInArrow(to_sets, "id long, comp long, nb int, shingles binary")
+    # the hint keeps one plan at every size: texts go to their members' tasks, the few numbers are hashed there
+    held = base.join(members.hint("shuffle_hash"), "id").select("id", "comp", "nb", "text").mapInArrow(to_sets, "id long, comp long, nb int, shingles binary")
     tasks = max(partitions(spark), candidate.count() // 2000 + 1)
     held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     one = F.col("nb") == 1
@@ -235,11 +239,12 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     )
 
     def verify(t: pa.Table) -> pa.Table:
-        seen, first = set(), []
+        chosen: dict[tuple[int, int], int] = {}
+        sets = t.column("shingles").to_pylist()
         for i, x in enumerate(zip(t.column("comp").to_pylist(), t.column("id").to_pylist())):
-            if x not in seen:  # rows with equal ids
-                seen.add(x)
-                first.append(i)
+            if x not in chosen or sets[i] < sets[chosen[x]]:  # several texts under one id: the least set
+                chosen[x] = i
+        first = sorted(chosen.values())
         cell = t.column("k1")[0].as_py() >= 0 and t.column("k2")[0].as_py() != t.column("k3")[0].as_py()
         if len(first) < t.num_rows:
             t = t.take(first)

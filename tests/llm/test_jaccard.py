@@ -80,6 +80,14 @@ def test_edges(spark):
     assert J.join(df.limit(0)).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    ship(spark)
+    rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "a b c d e f g"), (3, "q r s t u v w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({tuple(r) for r in J.join(x, threshold=0.5).collect()} for x in (df, df.repartition(3).orderBy("text")))
+    assert one == two and len(one) == 3
+
+
 def test_bands():
     bands, rows = J.bands_and_rows(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= J.MOST_HASHES
