@@ -7,6 +7,8 @@ layer never holds more rows than queries times states.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def components(edges: DataFrame, save) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
 
 
-def min_transfers(seq: DataFrame, transfers: DataFrame, queries: DataFrame, layers: int, save) -> DataFrame:
-    """(query_id, node_id, transfers, rides, walk_m) of the best way to each stop in up to ``layers`` rides.
+def min_transfers(seq: DataFrame, transfers: DataFrame, queries: DataFrame, layers: int | None, save) -> DataFrame:
+    """(query_id, node_id, transfers, rides, walk_m) of the best way to each stop in up to ``layers`` rides (None: any number).
 
     Labels compare by (transfers, ride rows, walked metres). A layer walks the transfer edges of
     the stops that the last one reached, boards, and rides on within the direction segment. From one
@@ -44,12 +46,12 @@ def min_transfers(seq: DataFrame, transfers: DataFrame, queries: DataFrame, laye
     ahead = seq.select("route_id", "segment_id", "pos", F.col("node_id").alias("at"), "can_alight")
     best = save(queries.select("query_id", "node_id", F.lit(-1).alias("transfers"), F.lit(0).cast("long").alias("rides"), F.lit(0.0).alias("walk_m")))
     done = best
-    for layer in range(layers):
+    for layer in count() if layers is None else range(layers):
         walked = best.where(F.col("transfers") == layer - 1).join(transfers, F.col("node_id") == F.col("from_node"))
         if layer == 0:
             walked = walked.where("kind = 'shared_node_id'")
-        on = walked.select("query_id", "to_node", "rides", (best["walk_m"] + transfers["walk_m"]).alias("walk")).join(board, F.col("to_node") == F.col("at")).select("query_id", "route_id", "segment_id", "pos", F.struct((F.col("rides") - F.col("pos")).alias("offset"), "walk").alias("label"))
-        on = on.groupBy("query_id", "route_id", "segment_id", "pos").agg(F.min("label").alias("label"))
+        at = walked.groupBy("query_id", "to_node").agg(F.min(F.struct("rides", (best["walk_m"] + transfers["walk_m"]).alias("walk"))).alias("l"))
+        on = at.join(board, F.col("to_node") == F.col("at")).select("query_id", "route_id", "segment_id", "pos", F.struct((F.col("l.rides") - F.col("pos")).alias("offset"), "l.walk").alias("label"))
         segments = on.select("query_id", "route_id", "segment_id").distinct()
         rows = segments.join(ahead, ["route_id", "segment_id"]).join(on, ["query_id", "route_id", "segment_id", "pos"], "left")
         w = Window.partitionBy("query_id", "route_id", "segment_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +60,7 @@ def min_transfers(seq: DataFrame, transfers: DataFrame, queries: DataFrame, laye
         new = off.select("query_id", F.col("at").alias("node_id"), cost.alias("c")).groupBy("query_id", "node_id").agg(F.min("c").alias("c")).select("query_id", "node_id", "c.*")
         new = new.join(done.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
         best = save(new)
-        done = save(done.unionByName(best)) if layer < layers - 1 else done.unionByName(best)
+        done = save(done.unionByName(best)) if layers is None or layer < layers - 1 else done.unionByName(best)
         if best.isEmpty():
             break
     return done.where("transfers >= 0")
@@ -75,29 +77,23 @@ def alternatives(candidates: DataFrame, preference: str, most: int = 3) -> DataF
 
     low_transfer orders by (transfers, rides, walk); reliable weighs walking more, challenge turns
     the order of transfers round, diverse starts with the best and adds the one least like those
-    chosen, over at most some tens of candidates of a query in one row."""
+    chosen. Each place is one aggregate over all candidates, so a query may have any number of them;
+    what is broadcast is a row of up to ``most`` chosen ones for each query."""
     weights = {"low_transfer": (8, 120), "reliable": (6, 120), "challenge": (-2, 150), "diverse": (2, 150)}
     t, m = weights[preference]
     score = F.col("transfers") * t * 1000 + F.col("rides") * 100 + F.floor(F.col("walk_m") / m * 100)
-    distinct = candidates.withColumn("score", score.cast("long")).groupBy("query_id", F.array_sort(F.array_distinct("routes")).alias("route_set")).agg(F.min(F.struct("score", "path_id", "transfers", "rides", "walk_m")).alias("x"))
-    rows = distinct.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("x.score").alias("score"), F.col("x.path_id").alias("path_id"), "route_set"))).alias("all"))
-    if preference != "diverse":
-        chosen = F.slice("all", 1, most)
-    else:
-        first = F.slice("all", 1, 1)
-
-        def one_more(got):
-            """The candidate least like those chosen; of equally unlike ones the best."""
-
-            def like(x):
-                return F.array_max(F.transform(got, lambda g: jaccard(x["route_set"], g["route_set"])))
-
-            rest = F.filter("all", lambda x: ~F.exists(got, lambda g: g["path_id"] == x["path_id"]))
-            ranked = F.array_sort(F.transform(rest, lambda x: F.struct(like(x).alias("likeness"), x["score"].alias("score"), x["path_id"].alias("path_id"), x["route_set"].alias("route_set"))))
-            return F.concat(got, F.transform(F.slice(ranked, 1, 1), lambda x: F.struct(x["score"].alias("score"), x["path_id"].alias("path_id"), x["route_set"].alias("route_set"))))
-
-        chosen = first
-        for i in range(most - 1):  # each step is a column of its own, so expressions stay small
-            rows = rows.withColumn(f"chosen_{i}", one_more(chosen))
-            chosen = F.col(f"chosen_{i}")
-    return rows.select("query_id", F.posexplode(chosen).alias("rank", "c")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("c.path_id").alias("path_id"), F.col("c.score").alias("score"), F.size("c.route_set").alias("routes"))
+    rows = candidates.select("query_id", score.cast("long").alias("score"), "path_id", F.array_sort(F.array_distinct("routes")).alias("route_set"))
+    chosen = None
+    for _ in range(most):
+        likeness, taken, got = F.lit(0.0), F.lit(False), rows
+        if chosen is not None:
+            got, taken = rows.join(F.broadcast(chosen), "query_id"), F.exists("chosen", lambda g: g["route_set"] == F.col("route_set"))
+            if preference == "diverse":  # of equally unlike ones the best
+                likeness = F.array_max(F.transform("chosen", lambda g: jaccard(F.col("route_set"), g["route_set"])))
+        best = F.min(F.when(~taken, F.struct(likeness.alias("likeness"), "score", "path_id", "route_set"))).alias("x")
+        got = got.groupBy("query_id").agg(best, *([F.first("chosen").alias("chosen")] if chosen is not None else []))
+        one = F.array(F.struct("x.score", "x.path_id", "x.route_set"))
+        if chosen is not None:
+            one = F.when(F.col("x").isNull(), F.col("chosen")).otherwise(F.concat("chosen", one))
+        chosen = got.select("query_id", one.alias("chosen"))
+    return chosen.select("query_id", F.posexplode("chosen").alias("rank", "c")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("c.path_id").alias("path_id"), F.col("c.score").alias("score"), F.size("c.route_set").alias("routes"))

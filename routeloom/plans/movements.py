@@ -262,8 +262,8 @@ def gtfs_earliest_arrival(spark, d):
 # --- graphs -------------------------------------------------------------------------------------
 
 
-def _planning(spark, d, share: int):
-    seq = sequence.with_segments(tables.sequences(spark, d).where(F.col("route_id") % share == 0))
+def _planning(spark, d, routes: str = "true"):
+    seq = sequence.with_segments(tables.sequences(spark, d).where(routes))
     return seq, spatial.transfer_edges(seq, 300)
 
 
@@ -289,23 +289,23 @@ def components_stops_300m(spark, d):
 
 @query()
 def journey_min_transfers(spark, d):
-    seq, edges = _planning(spark, d, 20)
-    return graph.min_transfers(seq, edges, _questions(spark), 3, storage.saved).select("query_id", "node_id", "transfers", "rides", geo.metres(F.col("walk_m")).alias("walk_m"))
+    seq, edges = map(storage.saved, _planning(spark, d))  # every layer reads them
+    return graph.min_transfers(seq, edges, _questions(spark), None, storage.saved).select("query_id", "node_id", "transfers", "rides", geo.metres(F.col("walk_m")).alias("walk_m"))
 
 
 @query(f"""WITH {SEQ}, {SEGMENTS}, s AS (SELECT * FROM segments WHERE route_id % 20 = 0), q(query_id, node_id) AS (VALUES (1, 1), (2, 2), (3, 3), (4, 4)),
 r AS (SELECT query_id, b.node_id, b.pos - a.pos AS rides FROM q JOIN s a ON a.node_id = q.node_id AND a.can_board JOIN s b ON b.route_id = a.route_id AND b.segment_id = a.segment_id AND b.pos > a.pos AND b.can_alight)
 SELECT CAST(query_id AS BIGINT) AS query_id, node_id, CAST(min(rides) AS BIGINT) AS rides FROM r GROUP BY ALL""")
 def journey_direct(spark, d):
-    seq, edges = _planning(spark, d, 20)
+    seq, edges = _planning(spark, d, "route_id % 20 = 0")  # the routes that its SQL asks for
     return graph.min_transfers(seq, edges, _questions(spark), 1, storage.saved).select("query_id", "node_id", "rides")
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, routes: str = "true", origins: str = "true", targets: str = "true"):
     """Candidate journeys between two stops, one for each (first route, second route) by a shared stop."""
-    s = sequence.reachable(tables.sequences(spark, d).where("route_id % 10 = 0"))
-    a = s.where("from_node % 50 = 1").select((F.col("from_node") % 7).alias("query_id"), F.col("route_id").alias("r1"), F.col("to_node").alias("via"), (F.col("to_pos") - F.col("from_pos")).alias("n1"))
-    b = s.where("to_node % 50 = 2").select(F.col("from_node").alias("via"), F.col("route_id").alias("r2"), (F.col("to_pos") - F.col("from_pos")).alias("n2"))
+    s = sequence.reachable(tables.sequences(spark, d).where(routes))
+    a = s.where(origins).select((F.col("from_node") % 7).alias("query_id"), F.col("route_id").alias("r1"), F.col("to_node").alias("via"), (F.col("to_pos") - F.col("from_pos")).alias("n1"))
+    b = s.where(targets).select(F.col("from_node").alias("via"), F.col("route_id").alias("r2"), (F.col("to_pos") - F.col("from_pos")).alias("n2"))
     j = a.join(b, "via").where("r1 <> r2")
     return j.select("query_id", F.concat_ws(">", "r1", "via", "r2").alias("path_id"), F.array("r1", "r2").alias("routes"), F.lit(1).alias("transfers"), (F.col("n1") + F.col("n2")).alias("rides"), F.lit(0.0).alias("walk_m"))
 
@@ -320,7 +320,8 @@ c AS (SELECT x.f % 7 AS query_id, concat_ws('>', x.route_id, x.t, y.route_id) AS
 b AS (SELECT query_id, r1, r2, min(score) AS score, arg_min(path_id, (score, path_id)) AS path_id FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, path_id) AS rank FROM b)
 SELECT query_id, rank, path_id, score, CAST(2 AS BIGINT) AS routes FROM k WHERE rank <= 3""")
 def journey_alternatives_low_transfer(spark, d):
-    return graph.alternatives(_candidates(spark, d), "low_transfer")
+    asked = _candidates(spark, d, "route_id % 10 = 0", "from_node % 50 = 1", "to_node % 50 = 2")  # what its SQL asks for
+    return graph.alternatives(asked, "low_transfer")
 
 
 # --- geometry, names, streams -------------------------------------------------------------------
