@@ -12,6 +12,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sequence, spatial
+
 
 def components(edges: DataFrame, save) -> DataFrame:
     """(node, root) of connected components by alternating stars; root is the least node."""
@@ -33,6 +35,13 @@ def components(edges: DataFrame, save) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
 
 
+def stop_components(seq: DataFrame, radius_m: float, save) -> DataFrame:
+    """(node, root) of stops joined by rides or within the radius; a stop without either is one of its own."""
+    rides = sequence.ride_edges(seq).select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
+    joined = components(rides.union(spatial.near_links(seq, radius_m)), save)
+    return seq.select(F.col("node_id").alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 def min_transfers(seq: DataFrame, transfers: DataFrame, queries: DataFrame, layers: int | None, save) -> DataFrame:
     """(query_id, node_id, transfers, rides, walk_m) of the best way to each stop in up to ``layers`` rides (None: any number).
 

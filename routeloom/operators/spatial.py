@@ -57,6 +57,16 @@ def transfer_edges(states: DataFrame, radius_m: float) -> DataFrame:
     return same.unionByName(near)
 
 
+def near_links(states: DataFrame, radius_m: float) -> DataFrame:
+    """Links (a, b) that join the same stops as all pairs within the radius: stops of one place hang
+    on its least one, and only those are paired, so a crowded place costs a row for each stop."""
+    p = places(states)
+    at = p.groupBy("latitude", "longitude").agg(F.min("node_id").alias("node_id"))
+    same = p.withColumnRenamed("node_id", "b").join(at, ["latitude", "longitude"]).select(F.col("node_id").alias("a"), "b")
+    near = within(at, at, radius_m).where("node_id < near_node_id").select(F.col("node_id").alias("a"), F.col("near_node_id").alias("b"))
+    return same.unionByName(near)
+
+
 def nearby(points: DataFrame, latitude: float, longitude: float, radius_m: float) -> DataFrame:
     """Rows within the radius of one point; the box on latitude goes to the scan."""
     span = radius_m / 111_000

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import candidates, coverage, search, sequence, spatial, staging
+from ..operators import candidates, coverage, search, staging
 from ..sources import tables
 from . import storage
 from .registry import POLLS, ROUTES, SEQ, STOPS, distance, query
@@ -176,7 +176,4 @@ def text_validators(spark, d):
 def component_summary(spark, d):
     from ..operators import graph
 
-    seq = tables.sequences(spark, d).where("route_id % 40 = 0")
-    rides = sequence.ride_edges(seq).select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
-    near = spatial.transfer_edges(seq, 300).where("from_node < to_node").select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
-    return candidates.component_summary(graph.components(rides.union(near), storage.saved))
+    return candidates.component_summary(graph.stop_components(tables.sequences(spark, d), 300, storage.saved))

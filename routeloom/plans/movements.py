@@ -273,17 +273,14 @@ def _questions(spark):
 
 @query()
 def components_routes(spark, d):
-    e = tables.sequence_rows(spark, d).where("route_id % 5 = 0").select(F.col("route_id").alias("a"), (-1 - F.col("node_id")).alias("b")).distinct()
+    e = tables.sequence_rows(spark, d).select(F.col("route_id").alias("a"), (-1 - F.col("node_id")).alias("b")).distinct()
     c = graph.components(e, storage.saved)
     return c.where("node >= 0").groupBy("root").agg(F.count("*").alias("routes"), F.min("node").alias("first_route"))
 
 
 @query()
 def components_stops_300m(spark, d):
-    seq = tables.sequences(spark, d).where("route_id % 40 = 0")
-    rides = sequence.ride_edges(seq).select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
-    near = spatial.transfer_edges(seq, 300).where("from_node < to_node").select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
-    c = graph.components(rides.union(near), storage.saved)
+    c = graph.stop_components(tables.sequences(spark, d), 300, storage.saved)
     return c.groupBy("root").agg(F.count("*").alias("stops")).groupBy("stops").agg(F.count("*").alias("components"))
 
 

@@ -1,6 +1,8 @@
 """Graph queries on tables whose ids no modulo sample keeps, against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -44,3 +46,36 @@ def test_alternatives_of_all_candidates(spark, lines):
             chosen.append(s)
             want[q, len(chosen)] = rest.pop(s)[::-1]
     assert {(r.query_id, r.rank): (r.path_id, r.score) for r in QUERIES["journey_alternatives"](spark, d).collect()} == want
+
+
+def test_components_of_every_route(spark, lines):
+    rng = random.Random(5)
+    rows = [(r, n, s) for r in range(1, 5) for n, s in enumerate(rng.sample(range(1, 300), 3))]
+    rows += [(6, 0, rows[0][2] + 400), (7, 0, 350), (7, 1, 97), (8, 0, 97), (9, 0, 351)]  # one place with another stop, no place, alone
+    d = lines(rows)
+
+    def place(s):
+        return (36 + s * 37 % 400 / 1000, 127 + s * 61 % 400 / 1000)
+
+    def metres(a, b):
+        (p, q), (u, v) = place(a), place(b)
+        x = math.sin(math.radians(u - p) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(u)) * math.sin(math.radians(v - q) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(x))
+
+    def sizes(nodes, pairs):
+        root = {x: x for x in nodes}
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+        return root
+
+    stops = {s for _, _, s in rows}
+    rides = [(a[2], b[2]) for a, b in zip(rows, rows[1:]) if a[0] == b[0]]
+    near = [(a, b) for a in stops for b in stops if a % 97 and b % 97 and metres(a, b) <= 300]
+    n = Counter(sizes(stops, rides + near).values())
+    got = {(r.stops, r.components) for r in QUERIES["components_stops_300m"](spark, d).collect()}
+    assert got == set(Counter(n.values()).items())
+    r = QUERIES["component_summary"](spark, d).first()
+    assert (r.components, r.largest, r.singletons, r.connected_pairs) == (len(n), max(n.values()), list(n.values()).count(1), sum(k * (k - 1) // 2 for k in n.values()))
+    by = Counter(sizes([(0, r) for r, _, _ in rows] + [(1, s) for s in stops], [((0, r), (1, s)) for r, _, s in rows])[0, r] for r in {r for r, _, _ in rows})
+    assert {(r.first_route, r.routes) for r in QUERIES["components_routes"](spark, d).collect()} == {(k[1], m) for k, m in by.items()}
