@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ def connections(times: DataFrame) -> DataFrame:
     return df.where("to_stop is not null and arrive >= depart")
 
 
-def earliest_arrival(conns: DataFrame, starts: DataFrame, buffer_s: int, rounds: int, save) -> DataFrame:
-    """(query_id, stop, arrival): least arrival at each stop with at most ``rounds`` boardings.
+def earliest_arrival(conns: DataFrame, starts: DataFrame, buffer_s: int, rounds: int | None, save) -> DataFrame:
+    """(query_id, stop, arrival): least arrival at each stop with at most ``rounds`` boardings (None: any number).
 
     starts: query_id, stop, arrival. Every round boards at reached stops after the buffer, rides
     each trip as far as it goes, and keeps the least arrival; stops when nothing improves. save(df)
@@ -65,7 +67,7 @@ def earliest_arrival(conns: DataFrame, starts: DataFrame, buffer_s: int, rounds:
     w = Window.partitionBy("trip_id").orderBy("arrive", "depart", "from_stop", "to_stop")
     rides = save(conns.withColumn("n", F.row_number().over(w)))
     best = save(starts.select("query_id", "stop", "arrival", F.lit(0).alias("round")))
-    for r in range(1, rounds + 1):
+    for r in count(1) if rounds is None else range(1, rounds + 1):
         front = best.where(F.col("round") == r - 1)
         wait = F.when(F.col("round") == 0, 0).otherwise(buffer_s)
         board = rides.where("pickup_type = 0").join(front, rides.from_stop == front.stop).where(F.col("depart") >= F.col("arrival") + wait)

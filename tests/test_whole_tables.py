@@ -79,3 +79,15 @@ def test_components_of_every_route(spark, lines):
     assert (r.components, r.largest, r.singletons, r.connected_pairs) == (len(n), max(n.values()), list(n.values()).count(1), sum(k * (k - 1) // 2 for k in n.values()))
     by = Counter(sizes([(0, r) for r, _, _ in rows] + [(1, s) for s in stops], [((0, r), (1, s)) for r, _, s in rows])[0, r] for r in {r for r, _, _ in rows})
     assert {(r.first_route, r.routes) for r in QUERIES["components_routes"](spark, d).collect()} == {(k[1], m) for k, m in by.items()}
+
+
+def test_earliest_arrival_rides_every_trip_and_boarding(spark, lines):
+    d = lines([x for k in range(1, 8) for x in ((k, 2 * k, k), (k, 2 * k + 1, k + 1))])
+    got = {r.stop: (r.arrival, r["round"]) for r in QUERIES["gtfs_earliest_arrival"](spark, d).where("query_id = 1").collect()}
+    assert got == {1: (0, 0), **{k + 1: ((2 * k + 1) * 1800 + k + 1, k) for k in range(1, 8)}}
+
+
+def test_projection_of_every_line(spark, lines):
+    d = lines([(r, n, 10 * r + n) for r in range(1, 12) for n in range(3)])
+    got = {(r.line_id, r.stop_id) for r in QUERIES["polyline_projection"](spark, d).collect()}
+    assert got == {(r, s) for r in range(1, 12) for s in range(10 * r, 10 * r + 3) if s != 97}
