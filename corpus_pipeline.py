@@ -24,11 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id stays; of its repeated rows one."""
+    """Of each class of linked documents the one with the least doc_id stays; of its texts and repeated rows one."""
     ship(spark)
     docs = docs.select(*COLUMNS)
-    first = jaccard.join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    first = jaccard.firsts(docs).withColumnsRenamed({"id": "_id", "mark": "_mark"}).hint("shuffle_hash")
+    mine = (F.coalesce("doc_id", F.lit(jaccard.LAST_ID)) == F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    return docs.join(first, mine, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

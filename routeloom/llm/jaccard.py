@@ -18,8 +18,10 @@ Result: a row for each document with its class (connected texts, named by the le
 number of links to other distinct sets, its representative and that one's copies. Defined results:
 null and empty texts (no words) have no links and are classes of their own; a null doc_id counts
 as larger than all others; an empty table gives no rows; rows with equal doc_id and text are
-copies of each other; rows that share a doc_id but not the text count as one document, whose links
-are those of the text with the least set. Other columns of the input are not carried over.
+copies of each other. Sets are told apart by 63 bits of their digest, not by doc_id, so texts that
+share a doc_id, or have none, are each compared and classed; a class's name is looked up at the end,
+and two classes whose least doc_id is the same have the same name. Other columns of the input are
+not carried over.
 """
 
 from __future__ import annotations
@@ -103,8 +105,16 @@ class Signer:
         return out.view(np.int64)
 
 
+def digest(shingle_bytes: bytes) -> bytes:
+    return hashlib.blake2b(shingle_bytes, digest_size=16).digest()
+
+
+def node_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big") >> 1
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """id, key (of the set; null if empty), bands."""
+    """id, mark, key (of the set; null if empty), node (its first 63 bits), bands."""
 
     def go(batches):
         sign = Signer(bands, rows)
@@ -113,12 +123,13 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for texts in portions(b.column("text")):
                 for t in texts:
                     x = shingles(t, n)
-                    keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                    keys.append(digest(x.tobytes()) if len(x) else None)
                     out.append(sign(x) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["id", "key", "bands"])
+            nodes = [k and node_of(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "mark", "key", "node", "bands"])
         _CACHE.clear()  # a worker goes on to other stages
 
-    return docs.select("id", "text").mapInArrow(go, "id long, key binary, bands array<long>")
+    return docs.select("id", "mark", "text").mapInArrow(go, "id long, mark long, key binary, node long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,8 +177,8 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], t: Fraction) -> np.
 
 
 def _verify(t: pa.Table, threshold: Fraction) -> list[tuple[int, int, int]]:
-    """(id, links, least id connected here) of the texts of one cell's components."""
-    ids = t.column("id").to_numpy()
+    """(node, links, least node connected here) of the texts of one cell's components."""
+    ids = t.column("node").to_numpy()
     comp, side = t.column("comp").to_numpy(), t.column("block").to_numpy()
     order = np.lexsort((ids, side, comp))
     sets = t.column("shingles").to_pylist()
@@ -204,71 +215,102 @@ def _verify(t: pa.Table, threshold: Fraction) -> list[tuple[int, int, int]]:
     return out
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, copy_of, n_copies."""
+def marked(docs: DataFrame) -> DataFrame:
+    """id, mark (both tell a row's text apart from others of its id), text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """id, mark, rep, rep_mark, root, first, n_links, n_copies of each row.
+
+    rep and rep_mark tell its set's representative, first that of its class: null without words, or without links."""
     spark = docs.sparkSession
     exact = Fraction(str(threshold))
     bands, rows = bands_and_rows(threshold, recall)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+    base = marked(docs)
     signed = stored(signatures(base, n, bands, rows))
-    reps = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("x"), F.count("*").alias("n_copies")).select("key", "x.id", "x.bands", "n_copies")
+    reps = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "mark", "node", "bands")).alias("x"), F.count("*").alias("n_copies")).select("key", "x.*", "n_copies")
     reps = stored(reps)
-    spread = reps.select("id", F.explode("bands").alias("bucket"))
-    several = spread.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
-    candidate = components(spread.join(several, "bucket").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    candidate = stored(candidate.select(F.col("node").alias("id"), F.col("root").alias("comp")))
+    spread = reps.select("node", F.explode("bands").alias("bucket"))
+    several = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
+    candidate = components(spread.join(several, "bucket").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    candidate = stored(candidate.select("node", F.col("root").alias("comp")))
     sizes = candidate.groupBy("comp").agg(F.count("*").alias("m"))
-    members = candidate.join(sizes, "comp").select("id", "comp", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("nb"))
+    members = candidate.join(sizes, "comp").join(reps.select("node", "id", "mark"), "node")
+    members = members.select("id", "mark", "node", "comp", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("nb"))
 
     def to_sets(batches):
+        done = set()  # repeated rows of an id and text come to one task
         for b in batches:
-            x = [shingles(t, n).astype("<u8").tobytes() for texts in portions(b.column("text")) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("comp"), b.column("nb"), pa.array(x, pa.binary())], names=["id", "comp", "nb", "shingles"])
+            x, at = [], []
+            nodes, i = b.column("node").to_pylist(), -1
+            for texts in portions(b.column("text")):
+                for t in texts:
+                    i += 1
+                    if nodes[i] in done:
+                        continue
+                    raw = shingles(t, n).astype("<u8").tobytes()
+                    if node_of(digest(raw)) == nodes[i]:  # not another text with the same mark
+                        done.add(nodes[i])
+                        x.append(raw)
+                        at.append(i)
+            b = b.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("comp"), b.column("nb"), pa.array(x, pa.binary())], names=["node", "comp", "nb", "shingles"])
         _CACHE.clear()
 
     # the hint keeps one plan at every size: texts go to their members' tasks, the few numbers are hashed there
-    held = base.join(members.hint("shuffle_hash"), "id").select("id", "comp", "nb", "text").mapInArrow(to_sets, "id long, comp long, nb int, shingles binary")
+    held = base.join(members.hint("shuffle_hash"), ["id", "mark"]).select("node", "comp", "nb", "text").mapInArrow(to_sets, "node long, comp long, nb int, shingles binary")
     tasks = max(partitions(spark), candidate.count() // 2000 + 1)
-    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     one = F.col("nb") == 1
     held = held.select(
-        "id", "comp", "block", "shingles",
+        "node", "comp", "block", "shingles",
         F.when(one, F.lit(-1)).otherwise(F.col("comp")).cast("long").alias("k1"),
         F.when(one, F.pmod(F.xxhash64("comp"), F.lit(tasks))).otherwise(F.least("block", "other")).cast("long").alias("k2"),
         F.when(one, F.lit(0)).otherwise(F.greatest("block", "other")).cast("long").alias("k3"),
     )
 
     def verify(t: pa.Table) -> pa.Table:
-        chosen: dict[tuple[int, int], int] = {}
-        sets = t.column("shingles").to_pylist()
-        for i, x in enumerate(zip(t.column("comp").to_pylist(), t.column("id").to_pylist())):
-            if x not in chosen or sets[i] < sets[chosen[x]]:  # several texts under one id: the least set
-                chosen[x] = i
-        first = sorted(chosen.values())
+        chosen: dict[int, int] = {}
+        for i, x in enumerate(t.column("node").to_pylist()):
+            chosen.setdefault(x, i)  # a split task may have brought a repeated row
         cell = t.column("k1")[0].as_py() >= 0 and t.column("k2")[0].as_py() != t.column("k3")[0].as_py()
-        if len(first) < t.num_rows:
-            t = t.take(first)
+        if len(chosen) < t.num_rows:
+            t = t.take(list(chosen.values()))
         if cell and len(set(t.column("block").to_pylist())) < 2:
             found = []  # the other block is empty
         else:
             found = _verify(t, exact)
         a, b, c = zip(*found) if found else ((),) * 3
         split = t.column("k1")[0].as_py() >= 0
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array([split] * len(a), pa.bool_())], names=["id", "links", "root", "split"])
-
-    found = stored(held.groupBy("k1", "k2", "k3").applyInArrow(verify, "id long, links long, root long, split boolean"))
-    whole = found.where("not split").select("id", "root")
-    cut = components(found.where("split").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = whole.union(cut.select(F.col("node").alias("id"), "root"))
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    named = reps.select("key", F.col("id").alias("rep"), "n_copies")
-    named = named.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    out = signed.select("id", "key").join(named, "key", "left")
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array([split] * len(a), pa.bool_())], names=["node", "links", "root", "split"])
+
+    found = stored(held.groupBy("k1", "k2", "k3").applyInArrow(verify, "node long, links long, root long, split boolean"))
+    whole = found.where("not split").select("node", "root")
+    cut = components(found.where("split").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = whole.union(cut.select("node", "root"))
+    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    named = reps.select("key", "node", F.col("id").alias("rep"), F.col("mark").alias("rep_mark"), "n_copies")
+    named = named.join(links, "node", "left").join(classes, "node", "left")
+    first = named.where("root is not null").groupBy("root").agg(F.min(F.struct("rep", "rep_mark")).alias("first"))
+    return signed.select("id", "mark", "key").join(named.drop("node").join(first, "root", "left"), "key", "left").drop("key")
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_links, copy_of, n_copies."""
     real = F.nullif(F.col("id"), F.lit(LAST_ID))
-    return out.select(
+    return classed(docs, n, threshold, recall, block).select(
         real.alias("doc_id"),
-        F.nullif(F.coalesce("root", "rep", "id"), F.lit(LAST_ID)).alias("class_id"),
+        F.nullif(F.coalesce("first.rep", "rep", "id"), F.lit(LAST_ID)).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.nullif(F.coalesce("rep", "id"), F.lit(LAST_ID)).alias("copy_of"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """id and mark of the text of each class that stays: of the least doc_id, and of its texts one."""
+    stays = F.coalesce("first", F.when(F.col("rep").isNotNull(), F.struct("rep", "rep_mark")))
+    itself = F.struct(F.col("id").alias("rep"), F.col("mark").alias("rep_mark"))
+    return classed(docs).where(F.coalesce(stays == itself, F.lit(True))).select("id", "mark").distinct()

@@ -97,3 +97,36 @@ def test_components(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
     got = {r.node: r.root for r in J.components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_texts_are_compared_whatever_their_ids(spark, block):
+    ship(spark)
+    rows = [r for r in corpus(3) if (r[1] or "").split()]
+    want = brute(rows)
+    rng = random.Random(6)
+    ids = {d: rng.choice([None, d // 4, d // 4, d]) for d, _ in rows}
+    last = J.LAST_ID
+    groups, copies = collections.defaultdict(list), collections.defaultdict(list)
+    for d, (c, _, rep) in want.items():
+        groups[c].append(ids[d])
+        copies[rep].append(ids[d])
+
+    def least(x):
+        m = min(last if i is None else i for i in x)
+        return None if m == last else m
+
+    expected = collections.Counter((ids[d], least(groups[c]), k, least(copies[rep]), len(copies[rep])) for d, (c, k, rep) in want.items())
+    df = spark.createDataFrame([(ids[d], t) for d, t in rows], "doc_id long, text string")
+    assert collections.Counter(map(tuple, J.join(df, block=block).collect())) == expected
+
+
+def test_pipeline_keeps_one_text_of_a_class(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a + " more"), (None, b), (None, b + " more"), (None, a + " else"), (2, c), (None, c + " more"), (None, None), (None, b)]
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    kept = collections.Counter((r.doc_id, (r.text or "-")[0]) for r in got)
+    assert kept == {(1, "a"): 1, (None, "b"): 1, (2, "c"): 1, (None, "-"): 1}
