@@ -4,7 +4,11 @@ A text is cut into sentences (at line ends and after ``.``, ``!``, ``?`` before
 is normalised (ASCII lower case, runs of other characters to one blank) and looked up in a map of
 known license sentences. The identifiers found, in text order, are matched against ordered rules:
 a rule is a sequence of sentence identifiers that must follow each other without another known
-sentence between them.
+sentence between them. Sentences that are wrapped over lines are looked up whole first (line
+ends joined up to a sentence end, a blank line or the start of a known sentence), then by line.
+
+The SQL beside it is plain: it looks up SENTENCES by line only, so on wrapped texts and the full
+license sentences of WHOLE it finds less. ``n_sentences`` counts by line in both.
 
 Defined results: null and empty texts hold no sentence and no license. A sentence that occurs
 twice is found twice, its license is listed once. Rows with equal ids are each scanned. The rest
@@ -52,19 +56,48 @@ RULES = (
     ("BSD", ("bsd-1", "bsd-2", "bsd-3")),
 )
 
+MIT, GPL_HEAD = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+#: The licenses' own full sentences, where SENTENCES has parts of them.
+WHOLE = {
+    f"{MIT} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-1",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-3",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-head",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-head-3",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-head-3",
+    **{f"{GPL_HEAD} {v} of the license or at your option any later version": "gpl-head" for v in ("either version 1", "either version 2", "either version 3")},
+    **{f"{GPL_HEAD} {v} of the license": "gpl-head" for v in ("version 2", "version 3")},
+}
+WHOLE_RULES = (("Apache-2.0", ("apache-head",)), ("GPL", ("gpl-head",)))
+
+#: Line ends that a known sentence follows, after marks such as those of comments.
+STARTS = "permission is hereby|the above copyright notice and|the software is provided|redistribution and use|redistributions (?:of|in)|this program is free|this work is licensed|you may not use this|you may obtain a|licensed under|released under"
+JOINED = rf"(?<=[.!?])[ \t\r\n]+|\n(?=[^a-z0-9\n]*\n)|\n(?=[^a-z0-9\n]*(?:{STARTS}))"
 CUT = r"\n+|(?<=[.!?])[ \t\r]+"
 
 
+def lowered(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def normal(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+
+
 def sentences(text: Column) -> Column:
-    raw = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), CUT)
-    return F.transform(raw, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    return F.transform(F.split(lowered(text), CUT), normal)
 
 
-def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, str] = SENTENCES | WHOLE, rules=RULES + WHOLE_RULES) -> DataFrame:
     """doc_id, n_sentences, sentence_ids (in text order), licenses (sorted, distinct), n_rules."""
     ids = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    df = docs.select("doc_id", sentences(F.col("text")).alias("_s"))
-    df = df.withColumn("_k", F.filter(F.transform("_s", lambda s: F.element_at(ids, s)), lambda x: x.isNotNull()))
+
+    def found(s):
+        """Identifiers of a sentence: its own, or those of its lines."""
+        whole = F.element_at(ids, normal(s))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(F.split(s, r"\n+"), lambda x: F.element_at(ids, normal(x))))
+
+    df = docs.select("doc_id", sentences(F.col("text")).alias("_s"), F.flatten(F.transform(F.split(lowered(F.col("text")), JOINED), found)).alias("_f"))
+    df = df.withColumn("_k", F.filter("_f", lambda x: x.isNotNull()))
     df = df.select(
         "doc_id",
         F.size(F.filter("_s", lambda s: s != "")).cast("long").alias("n_sentences"),

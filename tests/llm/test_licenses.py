@@ -1,3 +1,5 @@
+import textwrap
+
 from routeloom.llm import licenses
 
 
@@ -25,3 +27,73 @@ def test_no_rows_and_no_python(spark):
     assert df.count() == 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+MIT = """MIT License
+
+Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Copyright (c) 2024, A. Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND MORE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+
+
+def test_verbatim_texts_wrapped_and_not(spark):
+    texts = {"MIT": MIT, "BSD": BSD, "GPL": GPL, "Apache-2.0": APACHE}
+    ways = {
+        "wrapped": lambda t: t,
+        "windows": lambda t: t.replace("\n", "\r\n"),
+        "comment": lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */\nint main;",
+        "unwrapped": lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")),
+        "narrow": lambda t: "\n\n".join(textwrap.fill(" ".join(p.split()), 41) for p in t.split("\n\n")),
+    }
+    rows = [((name, way), f(t)) for name, t in texts.items() for way, f in ways.items()]
+    got = scan(spark, [(i, t) for i, (_, t) in enumerate(rows)])
+    missed = [k for i, (k, _) in enumerate(rows) if got[i][2] != [k[0]]]
+    assert missed == []
+    assert got[0][1] == ["mit-1", "mit-2", "mit-3"] and got[5][1] == ["bsd-1", "bsd-2", "bsd-3"]
+    heading = scan(spark, [(1, "Copyright 2024 A. Person\n" + BSD.split("\n\n", 1)[1]), (2, "A title\n" + MIT.split("\n\n", 2)[2])])
+    assert (heading[1][2], heading[2][2]) == (["BSD"], ["MIT"])
