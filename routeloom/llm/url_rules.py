@@ -55,7 +55,7 @@ PATTERN_RULES = (
     PatternRule("block", r"://([a-z0-9-]+[.])*casino-[a-z0-9]+[.]", ("casino",)),
     PatternRule("block", r"://([a-z0-9-]+[.])*free-bets[.]", ("free", "bets")),
     PatternRule("block", r"://([a-z0-9-]+[.])*ads-track[.]", ("ads", "track")),
-    PatternRule("block", r"[?&]ref=x&.*utm_source=feed", ("ref", "x", "utm_source", "feed")),
+    PatternRule("block", r"[?&]ref=x&.*utm_source=feed", ("ref", "x")),  # open at both ends of the rest
 )
 
 

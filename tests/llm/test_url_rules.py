@@ -34,3 +34,10 @@ def test_no_rules_and_no_rows(spark):
     assert U.judge(df).count() == 0
     one = spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string")
     assert U.judge(one, (), ()).first().verdict == "allow"
+
+
+def test_open_ends_of_a_pattern(spark):
+    urls = ["http://a.org/?ref=x&utm_source=feedburner", "http://a.org/?ref=x&my_utm_source=feed", "http://a.org/?ref=xy&utm_source=feed"]
+    rows = [(i, u) for i, u in enumerate(urls + ["http://b.org/?ref=x"] * 5 + ["http://b.org/ref/x"] * 5)]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string")).where("page_id < 3").collect()}
+    assert got == {0: "block", 1: "block", 2: "allow"}
