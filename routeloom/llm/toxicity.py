@@ -304,23 +304,27 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learned_from(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, chars: int = MAX_CHARS) -> Model:
-    """Fit on at most ``limit`` labelled rows and ``chars`` characters (whole texts) of docs."""
-    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    """Fit on at most ``limit`` labelled rows and ``chars`` characters (whole texts) of docs.
+
+    Both bounds take rows in hash order; a text that no longer fits is passed over, not the rest."""
+    crc = F.crc32(F.crc32(F.col("doc_id").cast("string").cast("binary")).cast("string").cast("binary"))
     some = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic is not null and doc_id is not null")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.crc32(crc.cast("string").cast("binary")), "doc_id").limit(limit)
+        .orderBy(crc, "doc_id").limit(limit)
     )
     rows = some.collect()  # at most ``limit`` pairs of numbers
     if not rows:
         return fit(Bags(), np.zeros(0, bool))
     few = docs.sparkSession.createDataFrame(rows, some.schema)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
-    bags, toxic, size = Bags(), [], 0
-    for r in found.orderBy("doc_id", "text").toLocalIterator():
-        size += len(r["text"] or "")
-        if size > chars:
-            break
+    chosen, size = [], 0
+    for r in found.where(F.coalesce(F.char_length("text"), F.lit(0)) <= chars).orderBy(crc, "doc_id", "text").toLocalIterator():
+        if size + len(r["text"] or "") <= chars:
+            size += len(r["text"] or "")
+            chosen.append(r)
+    bags, toxic = Bags(), []
+    for r in sorted(chosen, key=lambda r: (r["doc_id"], r["text"] or "")):
         bags.add(r["text"])
         toxic.append(r["toxic"] == 1)
     return fit(bags, np.array(toxic, bool))

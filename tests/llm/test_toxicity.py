@@ -82,3 +82,18 @@ def test_nothing_to_learn(spark):
 def test_long_words_are_covered():
     w = "q" * 30 + "idiot" + "q" * 41
     assert any("idiot" in u for u in T.units(w)) and all(len(u) <= T.WIDE for u in T.units(w))
+
+
+def test_character_bound_takes_rows_in_hash_order(spark, monkeypatch):
+    class Seen(list):
+        add = list.append
+
+    monkeypatch.setattr(T, "Bags", Seen)
+    monkeypatch.setattr(T, "fit", lambda bags, toxic: list(bags))
+    order = sorted(range(1, 41), key=lambda d: (zlib.crc32(str(zlib.crc32(str(d).encode())).encode()), d))
+    long = {1: 900, order[0]: 501, order[2]: 450}
+    texts = {d: f"{d} ".ljust(long.get(d, 100), "x") for d in order}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in order], "doc_id long, toxic int")
+    want = [d for d in order if d not in long][:5]
+    assert T.learned_from(docs, labels, chars=500) == [texts[d] for d in sorted(want)]
