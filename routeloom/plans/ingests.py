@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import candidates, coverage, search, staging
 from ..sources import tables
-from . import storage
+from .. import storage
 from .registry import POLLS, ROUTES, SEQ, STOPS, distance, query
 
 

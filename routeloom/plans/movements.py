@@ -8,7 +8,7 @@ from ..functions import clock, geo, text
 from ..operators import geometry, graph, observations, replay, schedule, search, sequence, spatial, versions
 from ..sources import tables
 from ..streaming import passages as streaming
-from . import storage
+from .. import storage
 from .registry import PASSAGES, POLLS, ROUTES, SEGMENTS, SEQ, STOPS, TIMES, TRIPS, distance, query
 
 DAY_S = 86_400

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from routeloom.operators import graph, schedule, sequence, spatial
-from routeloom.plans.storage import saved
+from routeloom.storage import saved
 
 
 def network(seed, routes=14, stops=16):
