@@ -6,17 +6,21 @@ threshold. Texts with equal sets are one class representative from the start (th
 
 1. Signatures: one pass over the texts gives each document a set key and its band hashes.
 2. Representatives are shuffled on band hashes; each bucket of two or more links its members to
-   its least one, so a bucket of any size costs a row for each member. These links' connected
-   components hold all candidate pairs.
-3. Components of up to ``block`` texts are verified whole, many to a task. Larger ones are cut into
-   blocks; each pair of blocks is a task, so a third of all rows in one group of near copies is
-   spread out, no pair is ever a row, and no partner is left out. In a task the n-gram sets'
-   intersections come from a product of incidence matrices; what leaves it is each text's number
-   of links and a link to the least text that it is connected with.
+   its least one, so a bucket of any size costs a row for each member, dealt over many tasks. These
+   links' connected components hold all candidate pairs.
+3. Components that fit a block are verified whole, many to a task. Larger ones are cut into blocks
+   of bounded texts and bytes, and each pair of blocks is a task, so a third of all rows in one group
+   of near copies is spread out, no pair is ever a row, and no partner is left out. What is copied for
+   these tasks is not the sets but how they differ from one set of the component (its pivot): with R
+   the pivot's shingles that a set lacks and D those together with its own others, two sets share
+   |pivot| - |R1| - |R2| + |D1 and D2| shingles, exactly. Near copies differ by a few shingles.
+   The intersections come from a product of incidence matrices; what leaves a task is each
+   text's number of links and a link to the least text that it is connected with.
 
 Result: a row for each document with its class (connected texts, named by the least doc_id), its
 number of links to other distinct sets, its representative and that one's copies. Defined results:
-null and empty texts (no words) have no links and are classes of their own; a null doc_id counts
+null and empty texts (no words) have no links and are classes of their own; very long texts are read whole
+(a set larger than a block is a block of its own); a null doc_id counts
 as larger than all others; an empty table gives no rows; rows with equal doc_id and text are
 copies of each other. Sets are told apart by 63 bits of their digest, not by doc_id, so texts that
 share a doc_id, or have none, are each compared and classed; a class's name is looked up at the end,
@@ -36,9 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, portions, stored
+from ..operators.graph import components, with_least
+from .common import dropped, partitions, portions, stored
 
-N, THRESHOLD, RECALL, MOST_HASHES, BLOCK = 5, 0.8, 0.999, 128, 256
+N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
+#: Texts and shingles of a block; a component of more of either is cut.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+_COLUMNS = 4096
 LAST_ID = 2**63 - 1
 _CACHE: dict[str, int] = {}
 _CACHED = 150_000
@@ -114,104 +122,90 @@ def node_of(key: bytes) -> int:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """id, mark, key (of the set; null if empty), node (its first 63 bits), bands."""
+    """id, mark, key (of the set; null if empty), node (its first 63 bits), size, bands."""
 
     def go(batches):
         sign = Signer(bands, rows)
         for b in batches:
-            keys, out = [], []
+            keys, sizes, out = [], [], []
             for texts in portions(b.column("text")):
                 for t in texts:
                     x = shingles(t, n)
                     keys.append(digest(x.tobytes()) if len(x) else None)
+                    sizes.append(len(x))
                     out.append(sign(x) if len(x) else None)
             nodes = [k and node_of(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "mark", "key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "mark", "key", "node", "size", "bands"])
         _CACHE.clear()  # a worker goes on to other stages
 
-    return docs.select("id", "mark", "text").mapInArrow(go, "id long, mark long, key binary, node long, bands array<long>")
+    return docs.select("id", "mark", "text").mapInArrow(go, "id long, mark long, key binary, node long, size long, bands array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node that it is connected with) from edges (a, b), by alternating
-    large and small stars; hubs only pass through aggregates and splittable joins."""
-
-    def larger_first(e: DataFrame) -> DataFrame:
-        return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    e, before = stored(larger_first(edges)), None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = larger_first(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = stored(larger_first(small))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
-
-
-def _linked(left: list[np.ndarray], right: list[np.ndarray], t: Fraction) -> np.ndarray:
-    """Which pairs of sets reach the threshold."""
-    every = np.concatenate([*left, *right])
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each pair of sets shares."""
+    every = np.concatenate([*left, *right, np.zeros(0, np.uint64)])
     of = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
-    _, column, count = np.unique(every, return_inverse=True, return_counts=True)
-    use = count[column] > 1
-    _, column = np.unique(column[use], return_inverse=True)
-    row = of[use]
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
+    count = np.diff(np.concatenate([np.flatnonzero(new), [len(every)]]))
+    use = np.repeat(count > 1, count)  # an element of one set only is in no intersection
+    row, column = of[use], np.cumsum(new[use]) - 1
     common = np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
     top = int(column[-1]) + 1 if len(column) else 0
-    for a in range(0, top, 8192):  # counts stay far below 2^24, exact in float32
-        i, j = np.searchsorted(column, [a, a + 8192])
-        held = np.zeros((len(left) + len(right), min(8192, top - a)), np.float32)
+    for a in range(0, top, _COLUMNS):  # counts stay far below 2^24, exact in float32
+        i, j = np.searchsorted(column, [a, a + _COLUMNS])
+        held = np.zeros((len(left) + len(right), min(_COLUMNS, top - a)), np.float32)
         held[row[i:j], column[i:j] - a] = 1
         common += held[: len(left)] @ held[len(left) :].T
-    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
-    both = common.astype(np.int64)
-    return both * t.denominator >= t.numerator * (sizes - both)
+    return common.astype(np.int64)
+
+
+def _least_connected(names: np.ndarray, rows: np.ndarray, columns: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """For each name the least name that it is connected with; linked[i, j] joins names rows[i] and columns[j]."""
+    out, seen = names.copy(), np.zeros(len(names), bool)
+    for first in np.argsort(names, kind="stable").tolist():
+        if seen[first]:
+            continue
+        part = np.zeros(len(names), bool)
+        part[first] = True
+        front = part.copy()
+        while front.any():
+            near = np.zeros(len(names), bool)
+            near[columns[linked[front[rows]].any(0)]] = True
+            near[rows[linked[:, front[columns]].any(1)]] = True
+            front = near & ~part
+            part |= front
+        seen |= part
+        out[part] = names[first]
+    return out
 
 
 def _verify(t: pa.Table, threshold: Fraction) -> list[tuple[int, int, int]]:
-    """(node, links, least node connected here) of the texts of one cell's components."""
-    ids = t.column("node").to_numpy()
-    comp, side = t.column("comp").to_numpy(), t.column("block").to_numpy()
-    order = np.lexsort((ids, side, comp))
-    sets = t.column("shingles").to_pylist()
+    """(node, links, least node connected here) of the texts of one cell's components.
+
+    Of a text come its shingles, or D of a text in a cut component; sizes, removed (|R|) and pivot (its size) are 0 there."""
+    names, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "block"))
+    size, removed, pivot = (t.column(c).to_numpy().astype(np.int64) for c in ("size", "removed", "pivot"))
+    sets = t.column("shingles")
+    order = np.lexsort((names, side, comp))
     out = []
     cut = np.flatnonzero(np.diff(comp[order], prepend=comp[order[0]] - 1)) if len(order) else []
     for a, b in zip(cut, [*cut[1:], len(order)]):
         at = order[a:b]
-        names = ids[at].tolist()
-        have = [np.frombuffer(sets[i], "<u8") for i in at]
-        blocks = side[at]
-        half = int(np.searchsorted(blocks, blocks[-1], "left"))
-        if half == 0:  # one block with itself
-            ok = _linked(have, have, threshold)
+        have = [np.frombuffer(sets[int(i)].as_py(), "<u8") for i in at]
+        n = len(at)
+        half = int(np.searchsorted(side[at], side[at[-1]], "left"))
+        left, right = (np.arange(n), np.arange(n)) if half == 0 else (np.arange(half), np.arange(half, n))  # one block is held against itself
+        both = _common([have[i] for i in left], [have[i] for i in right])
+        both += pivot[at[0]] - removed[at][left][:, None] - removed[at][right][None, :]
+        ok = both * threshold.denominator >= threshold.numerator * (size[at][left][:, None] + size[at][right][None, :] - both)
+        if half == 0:
             np.fill_diagonal(ok, False)
-            pairs = np.argwhere(np.triu(ok))
-        else:
-            ok = _linked(have[:half], have[half:], threshold)
-            pairs = np.argwhere(ok) + [0, half]
-        links = np.bincount(pairs.ravel(), minlength=len(names))
-        root = list(range(len(names)))
-
-        def top(i, root=root):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in pairs.tolist():
-            i, j = top(i), top(j)
-            if i != j:
-                i, j = (i, j) if names[i] < names[j] else (j, i)
-                root[j] = i
-        out += [(names[i], int(links[i]), names[top(i)]) for i in range(len(names)) if links[i]]
+        links = np.bincount(left, ok.sum(1), n) + (np.bincount(right, ok.sum(0), n) if half else 0)
+        root = _least_connected(names[at], left, right, ok)
+        some = links > 0
+        out += zip(names[at][some].tolist(), links[some].astype(np.int64).tolist(), root[some].tolist())
     return out
 
 
@@ -221,7 +215,7 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """id, mark, rep, rep_mark, root, first, n_links, n_copies of each row.
 
     rep and rep_mark tell its set's representative, first that of its class: null without words, or without links."""
@@ -230,20 +224,21 @@ def classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     bands, rows = bands_and_rows(threshold, recall)
     base = marked(docs)
     signed = stored(signatures(base, n, bands, rows))
-    reps = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "mark", "node", "bands")).alias("x"), F.count("*").alias("n_copies")).select("key", "x.*", "n_copies")
+    reps = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "mark", "node", "size", "bands")).alias("x"), F.count("*").alias("n_copies")).select("key", "x.*", "n_copies")
     reps = stored(reps)
     spread = reps.select("node", F.explode("bands").alias("bucket"))
-    several = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
-    candidate = components(spread.join(several, "bucket").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    candidate = stored(candidate.select("node", F.col("root").alias("comp")))
-    sizes = candidate.groupBy("comp").agg(F.count("*").alias("m"))
-    members = candidate.join(sizes, "comp").join(reps.select("node", "id", "mark"), "node")
-    members = members.select("id", "mark", "node", "comp", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("nb"))
+    met = with_least(spread, "bucket", "node", several=True).where("node <> m")
+    candidate = components(met.select(F.col("node").alias("a"), F.col("m").alias("b")), stored)
+    candidate = stored(candidate.select("node", F.col("root").alias("comp")).join(reps.select("node", "id", "mark", "size"), "node"))
+    sizes = candidate.groupBy("comp").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    nb = F.greatest(F.ceil(F.col("m") / F.lit(block)), F.ceil(F.col("s") / F.lit(block_shingles))).cast("int")
+    sizes = sizes.select("comp", nb.alias("nb"))
+    members = candidate.join(sizes, "comp").select("id", "mark", "node", "comp", "nb")
 
     def to_sets(batches):
         done = set()  # repeated rows of an id and text come to one task
         for b in batches:
-            x, at = [], []
+            x, at, size = [], [], []
             nodes, i = b.column("node").to_pylist(), -1
             for texts in portions(b.column("text")):
                 for t in texts:
@@ -255,27 +250,42 @@ def classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
                         done.add(nodes[i])
                         x.append(raw)
                         at.append(i)
+                        size.append(len(raw) // 8)
             b = b.take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("comp"), b.column("nb"), pa.array(x, pa.binary())], names=["node", "comp", "nb", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("comp"), b.column("nb"), pa.array(size, pa.int64()), pa.array(x, pa.binary())], names=["node", "comp", "nb", "size", "shingles"])
         _CACHE.clear()
 
     # the hint keeps one plan at every size: texts go to their members' tasks, the few numbers are hashed there
-    held = base.join(members.hint("shuffle_hash"), ["id", "mark"]).select("node", "comp", "nb", "text").mapInArrow(to_sets, "node long, comp long, nb int, shingles binary")
+    held = base.join(members.hint("shuffle_hash"), ["id", "mark"]).select("node", "comp", "nb", "text").mapInArrow(to_sets, "node long, comp long, nb int, size long, shingles binary")
+    held = stored(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")))
     tasks = max(partitions(spark), candidate.count() // 2000 + 1)
-    held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    one = F.col("nb") == 1
-    held = held.select(
-        "node", "comp", "block", "shingles",
-        F.when(one, F.lit(-1)).otherwise(F.col("comp")).cast("long").alias("k1"),
-        F.when(one, F.pmod(F.xxhash64("comp"), F.lit(tasks))).otherwise(F.least("block", "other")).cast("long").alias("k2"),
-        F.when(one, F.lit(0)).otherwise(F.greatest("block", "other")).cast("long").alias("k3"),
-    )
+    none = F.lit(0).cast("long")
+    whole = held.where("nb = 1").select("node", "comp", "block", "size", none.alias("removed"), none.alias("pivot"), "shingles", F.lit(-1).cast("long").alias("k1"), F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("k2"), none.alias("k3"))
+
+    def differences(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each set of a block as its difference from the component's pivot."""
+        p = np.frombuffer(right.column("pivot")[0].as_py(), "<u8") if right.num_rows else np.zeros(0, "<u8")
+        removed, d = [], []
+        for x in left.column("shingles"):
+            s = np.frombuffer(x.as_py(), "<u8")
+            gone = np.setdiff1d(p, s, assume_unique=True)
+            removed.append(len(gone))
+            d.append(np.concatenate([gone, np.setdiff1d(s, p, assume_unique=True)]).astype("<u8").tobytes())
+        return pa.table([*(left.column(c) for c in ("node", "comp", "block", "nb", "size")), pa.array(removed, pa.int64()), pa.array([len(p)] * len(d), pa.int64()), pa.array(d, pa.binary())], names=["node", "comp", "block", "nb", "size", "removed", "pivot", "shingles"])
+
+    large = held.where("nb > 1")
+    # a component's name is its least node; that one's set goes once to each of its blocks
+    pivots = large.where("node = comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.col("shingles").alias("pivot")).dropDuplicates(["comp", "block"])
+    coded = large.groupBy("comp", "block").cogroup(pivots.groupBy("comp", "block")).applyInArrow(differences, "node long, comp long, block int, nb int, size long, removed long, pivot long, shingles binary")
+    cells = coded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = cells.select("node", "comp", "block", "size", "removed", "pivot", "shingles", F.col("comp").alias("k1"), F.least("block", "other").cast("long").alias("k2"), F.greatest("block", "other").cast("long").alias("k3"))
 
     def verify(t: pa.Table) -> pa.Table:
         chosen: dict[int, int] = {}
         for i, x in enumerate(t.column("node").to_pylist()):
             chosen.setdefault(x, i)  # a split task may have brought a repeated row
-        cell = t.column("k1")[0].as_py() >= 0 and t.column("k2")[0].as_py() != t.column("k3")[0].as_py()
+        split = t.column("k1")[0].as_py() >= 0
+        cell = split and t.column("k2")[0].as_py() != t.column("k3")[0].as_py()
         if len(chosen) < t.num_rows:
             t = t.take(list(chosen.values()))
         if cell and len(set(t.column("block").to_pylist())) < 2:
@@ -283,12 +293,12 @@ def classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
         else:
             found = _verify(t, exact)
         a, b, c = zip(*found) if found else ((),) * 3
-        split = t.column("k1")[0].as_py() >= 0
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array([split] * len(a), pa.bool_())], names=["node", "links", "root", "split"])
 
-    found = stored(held.groupBy("k1", "k2", "k3").applyInArrow(verify, "node long, links long, root long, split boolean"))
+    found = stored(whole.unionByName(cells).groupBy("k1", "k2", "k3").applyInArrow(verify, "node long, links long, root long, split boolean"))
+    dropped(candidate, held)
     whole = found.where("not split").select("node", "root")
-    cut = components(found.where("split").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    cut = components(found.where("split").select(F.col("node").alias("a"), F.col("root").alias("b")), stored)
     classes = whole.union(cut.select("node", "root"))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     named = reps.select("key", "node", F.col("id").alias("rep"), F.col("mark").alias("rep_mark"), "n_copies")
@@ -297,10 +307,10 @@ def classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     return signed.select("id", "mark", "key").join(named.drop("node").join(first, "root", "left"), "key", "left").drop("key")
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, class_id, n_links, copy_of, n_copies."""
     real = F.nullif(F.col("id"), F.lit(LAST_ID))
-    return classed(docs, n, threshold, recall, block).select(
+    return classed(docs, n, threshold, recall, block, block_shingles).select(
         real.alias("doc_id"),
         F.nullif(F.coalesce("first.rep", "rep", "id"), F.lit(LAST_ID)).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
