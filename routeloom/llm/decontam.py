@@ -5,17 +5,23 @@ m + 1 - q * (edits + 1) q-grams with it, on diagonals (position in text minus po
 that lie within ``edits`` of each other. Texts are compared as lower-cased characters, white space
 as blanks. All q-grams of a text are looked up among the items' q-grams; matches are counted in
 overlapping bands of diagonals, twice ``edits`` + 1 wide, so that every region lies whole in one
-band; bands that reach the bound are verified by an alignment of the item within the band.
+band; bands that reach the bound are verified by an alignment of the item within the band's diagonals (and as many more as there may be edits, on both sides).
 
 The edit budget is ``rate`` times the item's length, at least 1 where the item is long enough for
-the lemma to say anything; items shorter than q are compared as substrings. Whole items count:
-shorter shared runs are no leak. Items are read in blocks of ``block_chars`` characters, so the
-benchmark may be of any size; each block's q-gram table is sent to the executors (its size is
-bounded by the block), and texts are scanned once for each block.
+the lemma to say anything; items shorter than q are compared as substrings.
+
+Long items are sought in pieces, too: windows of ``piece`` characters, half a window apart, each
+an item with an edit budget of its own. So a text that quotes part of an item (one and a half windows of it, at
+least) is found, whether cut off at its start, end or both; a whole match of the item hides those of its pieces.
+
+Items are read in blocks of ``block_chars`` characters, so the benchmark may be of any size: each
+block's q-gram table is sent to the executors (its size is bounded by the block), the texts are scanned,
+what is found is written, and the table is taken back before the next block's is sent.
 
 Defined results: null and empty texts, and null or blank items, match nothing; equal items each
-match; repeated rows each get their matches; an empty benchmark leaves everything clean. Other
-columns of the input, also those with names used here, play no part in the matching.
+match; repeated rows each get their matches; very long texts are scanned whole, in steps; an empty
+table gives no rows and an empty benchmark leaves everything clean. Other columns of the input, also
+those with names used here, play no part in the matching.
 """
 
 from __future__ import annotations
@@ -27,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, RATE, BLOCK_CHARS = 10, 0.08, 8_000_000
+from .common import dropped, stored
+
+Q, RATE, BLOCK_CHARS, PIECE = 10, 0.08, 8_000_000, 120
 _BITS = 22
 _MUL, _STEP = np.uint64(0x9E3779B97F4A7C15), 1 << 19
 
@@ -66,6 +74,8 @@ def gram_codes(x: np.ndarray, q: int) -> np.ndarray:
 @dataclass
 class Items:
     ids: list
+    whole: np.ndarray  # 0 for a piece
+    start: np.ndarray  # of a piece in its item
     codes: list[np.ndarray]
     edits: np.ndarray
     need: np.ndarray  # shared q-grams
@@ -77,8 +87,18 @@ class Items:
     bits: np.ndarray
 
 
-def prepare(rows: list[tuple], q: int = Q, rate: float = RATE) -> Items:
+def pieces(size: int, piece: int) -> list[int]:
+    """Starts of the windows of an item; none if it is too short to be cut into several."""
+    if not piece or 2 * size < 3 * piece:
+        return []
+    return sorted({*range(0, size - piece + 1, max(1, piece // 2)), size - piece})
+
+
+def prepare(rows: list[tuple], q: int = Q, rate: float = RATE, piece: int = PIECE) -> Items:
     rows = [(i, c) for i, t in rows if len(c := normal((t or "").strip()))]
+    cut = [(i, c, 1, 0) for i, c in rows] + [(i, c[a : a + piece], 0, a) for i, c in rows for a in pieces(len(c), piece)]
+    whole, start = (np.array([x[k] for x in cut], np.int64) for k in (2, 3))
+    rows = [x[:2] for x in cut]
     sizes = np.array([len(c) for _, c in rows], np.int64)
     edits = np.floor(sizes * rate).astype(np.int64)
     while len(sizes) and (over := (edits > 0) & (sizes + 1 - q * (edits + 1) < 1)).any():
@@ -92,28 +112,38 @@ def prepare(rows: list[tuple], q: int = Q, rate: float = RATE) -> Items:
     keys, first = np.unique(every[order], return_index=True)
     bits = np.zeros(1 << _BITS, bool)
     bits[_slot(keys)] = True
-    return Items([i for i, _ in rows], [c for _, c in rows], edits, need, sizes, keys, np.append(first, len(every)), item[order], place[order], bits)
+    return Items([i for i, _ in rows], whole, start, [c for _, c in rows], edits, need, sizes, keys, np.append(first, len(every)), item[order], place[order], bits)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * _MUL) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(edits, start, end) of the best match of the whole item in the text."""
-    n = len(text)
-    at = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, np.int64), at.copy()
+def align(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
+    """(edits, start, end) of the best match of the whole item in the text whose path stays on the
+    diagonals (text position minus item position) low .. low + width - 1."""
+    n, m = len(text), len(item)
+    k = np.arange(width)
+    step = np.int64(n + 2)
+    far = (m + n + 2) * step
+    # costs with their starts in the low bits: of equal costs the later start wins
+    key = np.where((low + k >= 0) & (low + k <= n), n + 1 - (low + k), far)
+    padded = np.full(n + 2 * m + 2 * width + abs(low) + 2, 0xFFFFFFFF, np.uint32)
+    at = m + width + max(0, -low)  # where the text starts, so that no diagonal leaves the array
+    padded[at : at + n] = text
     for i, c in enumerate(item):
-        # costs with their starts in the low bits: of equal costs the later start wins
-        moved = np.empty(n + 1, np.int64)
-        key = cost * (n + 2) + (n + 1 - start)
-        moved[0] = (i + 1) * (n + 2) + n + 1
-        moved[1:] = np.minimum(key[:-1] + (text != c) * (n + 2), key[1:] + (n + 2))
-        moved = np.minimum.accumulate(moved - at * (n + 2)) + at * (n + 2)
-        cost, start = moved // (n + 2), n + 1 - moved % (n + 2)
-    end = int(np.argmin(cost))
-    return int(cost[end]), int(start[end]), end
+        p = low + i + k  # the text position that row i meets on each diagonal
+        same = padded[at + p[0] : at + p[0] + width] == c
+        moved = key + np.where(same, 0, step)
+        moved[(p < 0) | (p >= n)] = far
+        moved[:-1] = np.minimum(moved[:-1], key[1:] + step)  # the item's character is missing
+        moved[(p + 1 < 0) | (p + 1 > n)] = far
+        key = np.minimum(np.minimum.accumulate(moved - k * step) + k * step, far)  # the text has one more
+        key[(p + 1 < 0) | (p + 1 > n)] = far
+    best = int(np.argmin(key))
+    if key[best] >= far:
+        return m + 1, 0, 0
+    return int(key[best] // step), int(n + 1 - key[best] % step), int(low + m + best)
 
 
 def matches(texts: list[np.ndarray], items: Items, q: int = Q) -> list[tuple[int, int, int, int, int]]:
@@ -153,14 +183,19 @@ def matches(texts: list[np.ndarray], items: Items, q: int = Q) -> list[tuple[int
         pair, band = code // most, code % most
         doc, item = pair // len(items.ids), pair % len(items.ids)
         good = n2 >= items.need[item]
-        done: list[tuple[int, int, int, int]] = []
-        for d, i, b in zip(doc[good].tolist(), item[good].tolist(), band[good].tolist()):
-            m, e = int(items.sizes[i]), int(items.edits[i])
-            lo = b * (e + 1) - m
-            a, z = max(0, lo - e), min(int(sizes[d]), lo + 2 * (e + 1) + m + e)
-            if done and done[-1][:2] == (d, i) and done[-1][2] <= a and z <= done[-1][3]:
+        doc, item, band = doc[good], item[good], band[good]
+        last = (-1, -1, -1)
+        for at, (d, i, b) in enumerate(zip(doc.tolist(), item.tolist(), band.tolist())):
+            if last == (d, i, b):  # aligned together with the band before
                 continue
-            cost, s, t = align(items.codes[i], texts[d][a:z])
+            m, e = int(items.sizes[i]), int(items.edits[i])
+            width, last = 2 * (e + 1), (d, i, b + 1)
+            if at + 1 < len(doc) and (doc[at + 1], item[at + 1], band[at + 1]) == last:
+                width = 3 * (e + 1)
+            # edits before the first shared q-gram or after the last may leave the band by their number
+            low, width = b * (e + 1) - m - e, width + 2 * e
+            a, z = max(0, low), min(int(sizes[d]), low + width + m)
+            cost, s, t = align(items.codes[i], texts[d][a:z], low - a, width)
             if cost <= e:
                 out.append((d, i, a + s, a + t, cost))
     for i, c in enumerate(items.codes):
@@ -171,20 +206,34 @@ def matches(texts: list[np.ndarray], items: Items, q: int = Q) -> list[tuple[int
                 while (at := whole.find(raw, at + 1)) >= 0:
                     if at % 4 == 0:
                         out.append((d, i, at // 4, at // 4 + len(c), 0))
-    return _best(out)
+    return _best(out, items)
 
 
-def _best(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Of overlapping matches of one item in one text the one with fewest edits."""
-    kept: dict[tuple[int, int], list] = {}
+def _best(found: list[tuple[int, int, int, int, int]], items: Items) -> list[tuple]:
+    """(text, item id, start, end, edits, whole): of overlapping whole matches of an item in a text the one
+    with fewest edits; of pieces' matches that overlap no whole one, those that touch each other as one."""
+    kept: dict[tuple, list] = {}
     for d, i, s, t, e in sorted(found, key=lambda x: (x[0], x[1], x[4], x[2])):
-        mine = kept.setdefault((d, i), [])
-        if all(t <= a or b <= s for a, b, _ in mine):
+        if items.whole[i]:
+            mine = kept.setdefault((d, i), [])
+            if all(t <= a or b <= s for a, b, _ in mine):
+                mine.append((s, t, e))
+    out = [(d, items.ids[i], s, t, e, True) for (d, i), x in kept.items() for s, t, e in x]
+    spans: dict[tuple, list] = {}
+    for d, i, s, t, _, _ in out:
+        spans.setdefault((d, i), []).append((s, t))
+    parts: dict[tuple, list] = {}
+    for d, i, s, t, e in sorted(found, key=lambda x: (x[0], x[2], x[3])):
+        key = (d, items.ids[i])
+        if items.whole[i] or any(s < b and a < t for a, b in spans.get(key, [])):
+            continue
+        mine = parts.setdefault(key, [])
+        if mine and s <= mine[-1][1]:
+            mine[-1] = (mine[-1][0], max(t, mine[-1][1]), max(e, mine[-1][2]))
+        else:
             mine.append((s, t, e))
-    return sorted((d, i, s, t, e) for (d, i), x in kept.items() for s, t, e in x)
-
-
-MATCH = "array<struct<item_id:long,start:long,end:long,edits:long>>"
+    out += [(d, i, s, t, e, False) for (d, i), x in parts.items() for s, t, e in x]
+    return sorted(out, key=lambda x: (x[0], repr(x[1]), x[2]))
 
 
 def _blocks(benchmark: DataFrame, block_chars: int):
@@ -200,38 +249,64 @@ def _blocks(benchmark: DataFrame, block_chars: int):
         yield rows
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, text: str = "text") -> DataFrame:
-    """The rows of docs with ``leaks``: item_id, start, end (characters) and edits of each match."""
+def _found(docs: DataFrame, rows: list[tuple], q: int, rate: float, piece: int):
+    """A function that finds a block's items in Arrow columns of texts, and the broadcast behind it."""
+    items = prepare(rows, q, rate, piece)
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    def find(column) -> list[list[tuple]]:
+        found: list[list] = [[] for _ in range(len(column))]
+        some, first, size = [], 0, 0
+        for n in range(len(column)):
+            some.append(normal(column[n].as_py()))
+            size += len(some[-1])
+            if size >= 2_000_000 or n == len(column) - 1:
+                for d, *x in matches(some, sent.value, q):
+                    found[first + d].append(tuple(x))
+                some, first, size = [], n + 1, 0
+        return found
+
+    return find, sent
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, piece: int = PIECE) -> DataFrame:
+    """A row for each match: doc_id, item_id, start, end (characters), edits (the most of a piece), whole."""
     spark = docs.sparkSession
-    out = docs.withColumn("leaks", F.array().cast(MATCH))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
-    at = docs.columns.index(text)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = "doc_id long, item_id long, start long, end long, edits long, whole boolean"
+    out, blocks = None, 0
     for rows in _blocks(benchmark, block_chars):
-        items = prepare(rows, q, rate)
-        if not items.ids:
-            continue
-        sent = spark.sparkContext.broadcast(items)
+        find, sent = _found(docs, rows, q, rate, piece)
 
-        def go(batches, sent=sent):
-            items = sent.value
+        def go(batches, find=find):
             for b in batches:
-                found: list[list] = [[] for _ in range(b.num_rows)]
-                some, first, size = [], 0, 0
-                column = b.column(at)
-                for n in range(b.num_rows):
-                    some.append(normal(column[n].as_py()))
-                    size += len(some[-1])
-                    if size >= 2_000_000 or n == b.num_rows - 1:
-                        for d, i, s, t, e in matches(some, items, q):
-                            found[first + d].append({"item_id": items.ids[i], "start": s, "end": t, "edits": e})
-                        some, first, size = [], n + 1, 0
-                old = b.column(b.num_columns - 1).to_pylist()
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + y for x, y in zip(old, found)], kind)], names=b.schema.names)
-
-        out = out.mapInArrow(go, out.schema)
-    return out
+                found = find(b.column(1))
+                at = [n for n, x in enumerate(found) for _ in x]
+                columns = list(zip(*(y for x in found for y in x))) or [()] * 5
+                types = [pa.int64()] * 4 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "item_id", "start", "end", "edits", "whole"])
+
+        one, blocks = texts.mapInArrow(go, kind), blocks + 1
+        if blocks > 1 or sum(len(t or "") for _, t in rows) >= block_chars:  # there may be more blocks
+            one = stored(one)
+            sent.destroy()
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], kind) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, piece: int = PIECE, text: str = "text") -> DataFrame:
+    """The rows of docs that hold no item and no piece of one. Each block scans what the ones before have left."""
+    out, at, blocks = docs, docs.columns.index(text), 0
+    for rows in _blocks(benchmark, block_chars):
+        find, sent = _found(docs, rows, q, rate, piece)
 
+        def go(batches, find=find):
+            for b in batches:
+                yield b.filter(pa.array([not x for x in find(b.column(at))], pa.bool_()))
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item."""
-    return scan(docs, benchmark, **options).where(F.size("leaks") == 0).drop("leaks")
+        before, out, blocks = out, out.mapInArrow(go, docs.schema), blocks + 1
+        if blocks > 1 or sum(len(t or "") for _, t in rows) >= block_chars:
+            out = stored(out)
+            sent.destroy()
+            dropped(*([before] if before is not docs else []))
+    return out
