@@ -8,12 +8,14 @@ array's common-prefix intervals reports left-diverse intervals only, each with a
 The suffixes of a large corpus do not fit one array, so strings that can match are brought together:
 
 1. Each window of ``least`` bytes picks its smallest hashed ANCHOR-gram (the leftmost on ties), so
-   equal windows have equal anchors. Documents are dealt into groups of about GROUP_BYTES; a group
-   sends the distinct anchor hashes it holds to their buckets, and hears which other groups hold.
+   equal windows have equal anchors. Documents are dealt by id and text into groups of about GROUP_BYTES; a
+   group sends the distinct anchor hashes it holds, and in how many documents, to their buckets, and
+   hears which other groups hold.
 2. Around each anchor that at least two documents hold, the group cuts the context: all windows
-   that picked it. Contexts equal within the group are sent once, with the least id. Where very
-   many documents hold an anchor (a passage in a third of all documents), its windows are sent one by
-   one and bucketed by their own hash, so that no bucket gets the borders of all its copies.
+   that picked it. Contexts equal within the group are sent once, with the least id. Where more
+   than HOT_DOCS documents hold an anchor (a passage that very many share), its windows are sent one by one
+   and bucketed by their own hash, so that no bucket gets the borders of all its copies: of one
+   anchor a bucket holds HOT_DOCS contexts at most, at any size of the input.
 3. Each bucket builds the suffix array of its distinct contexts, scans it, and returns spans.
 4. Groups join the spans and cut their texts.
 
@@ -22,8 +24,9 @@ collapsed to the one with the least id first; the others are covered whole. Noth
 buckets and groups grow in number with the input.
 
 Defined results: null and empty texts have no bytes and nothing removed; equal doc_ids (repeated
-rows) never count against each other; a null doc_id counts as larger than all others. Columns of
-the input that are not named in ``carry`` are left out, whatever their names.
+rows) never count against each other; a null doc_id ranks with 2^63 - 1, after all others; an empty
+table gives no rows; a text longer than a group is a group's own and is read whole, in steps. Columns
+of the input that are not named in ``carry`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from .common import partitions
 LEAST, ANCHOR = 50, 28
 GROUP_BYTES, BUCKET_BYTES = 3 << 20, 3 << 20
 #: Anchors that more documents hold are bucketed window by window.
-HOT_DOCS = 20_000
+HOT_DOCS = 1_000
 LAST_ID = 2**63 - 1
 _STEP = 1 << 19  # windows looked at together
 _LOW = np.uint64((1 << 20) - 1)
@@ -235,7 +238,7 @@ def _table(schema: pa.Schema, columns: list) -> pa.Table:
     return pa.table([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
-_HASHES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
+_HASHES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("many", pa.binary())])
 _SIDE = pa.schema([("grp", pa.int64()), ("id", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 _PIECES = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("sizes", pa.binary()), ("blob", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("spans", pa.binary())])
 SIDE_SQL = "grp long, id long, bucket long, data binary"
@@ -252,23 +255,27 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
         raise ValueError("an anchor must fit the least length")
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), raw.alias("raw"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    doc_id = F.col("doc_id").cast("long")
+    base = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), raw.alias("raw"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     total = int(base.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0])
     groups = max(partitions(spark), total // group_bytes + 1)
     buckets = max(partitions(spark), total // bucket_bytes + 1)
-    grp = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("grp")
-    texts = base.select(grp, "*").groupBy("grp")
-    firsts = base.groupBy(F.sha2("raw", 256).alias("digest")).agg(F.min("id").alias("id")).select(grp, "id", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"))
+    # by text, too: rows without an id, or with one id, are dealt like all others
+    base = base.withColumn("mark", F.xxhash64("raw"))
+    grp = F.pmod(F.xxhash64("id", "mark"), F.lit(groups)).alias("grp")
+    texts = base.select(grp, *[c for c in base.columns if c != "mark"]).groupBy("grp")
+    firsts = base.groupBy(F.sha2("raw", 256).alias("digest"), "mark").agg(F.min("id").alias("id")).select(grp, "id", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"))
 
     def send_hashes(text: pa.Table, side: pa.Table) -> pa.Table:
         rows = []
         if text.num_rows:
             g, me = Group(text, _firsts(side)), text.column("grp")[0].as_py()
             g.find(least, k)
-            docs = np.minimum(g.docs_of_each(), 255).astype(np.uint8)
+            exact = g.docs_of_each()
+            docs = np.minimum(exact, 255).astype(np.uint8)  # 255: the number is in the next list
             # the bucket and 40 bits tell hashes apart; a chance match costs a look at the text, no more
-            rows = [(b, me, g.distinct[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), docs[at].tobytes()) for b, at in g.by_bucket(buckets)]
-        return _table(_HASHES, list(zip(*rows)) or [()] * 4)
+            rows = [(b, me, g.distinct[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), docs[at].tobytes(), exact[at][docs[at] == 255].astype("<u4").tobytes()) for b, at in g.by_bucket(buckets)]
+        return _table(_HASHES, list(zip(*rows)) or [()] * 5)
 
     def shared(t: pa.Table) -> pa.Table:
         rows = t.column("hashes").to_pylist()
@@ -276,7 +283,9 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
         wide = np.zeros((sum(sizes), 8), np.uint8)
         wide[:, :5] = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 5)
         _, number, count = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
-        docs = np.bincount(number, np.frombuffer(b"".join(t.column("docs").to_pylist()), np.uint8))
+        held = np.frombuffer(b"".join(t.column("docs").to_pylist()), np.uint8).astype(np.int64)
+        held[held == 255] = np.frombuffer(b"".join(t.column("many").to_pylist()), "<u4")
+        docs = np.bincount(number, held)
         marks = ((count > 1).astype(np.uint8) + ((count > 1) & (docs > hot_docs)))[number].astype(np.uint8)
         ends = np.cumsum(sizes)
         data = [m.tobytes() for m in np.split(marks, ends[:-1])]
@@ -401,7 +410,7 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
             else:
                 mine.append([a, b])
         by_text = {(g.ids[i], g.raws[i]): of.get(n, []) for n, i in enumerate(g.rows)}
-        ids, sizes, removed, n_spans, shas, lists, kept = [], [], [], [], [], [], []
+        sizes, removed, n_spans, shas, lists, kept = [], [], [], [], [], []
         for i in range(text.num_rows):
             doc, raw = g.ids[i], g.raws[i]
             mine = by_text[doc, raw] if doc in first_ids else [[0, len(raw)]] if len(raw) >= least else []
@@ -410,7 +419,6 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
                 parts.append(raw[at:a])
                 at = b
             rest = b"".join([*parts, raw[at:]])
-            ids.append(None if doc == LAST_ID else doc)
             sizes.append(len(raw))
             removed.append(len(raw) - len(rest))
             n_spans.append(len(mine))
@@ -418,7 +426,7 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
             lists.append([{"start": a, "end": b} for a, b in mine])
             if keep_text:
                 kept.append(b"".join(p.decode("utf-8", "ignore").encode() for p in [*parts, raw[at:]]).decode())
-        columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+        columns = [text.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
         if keep_text:
             columns.append(pa.array(kept, pa.string()))
@@ -428,7 +436,7 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = ANCHOR, keep_text: bool
             names.append(f"carry_{f.name}")
         return pa.table(columns, names=names)
 
-    hashes = texts.cogroup(firsts.groupBy("grp")).applyInArrow(send_hashes, "bucket long, grp long, hashes binary, docs binary")
+    hashes = texts.cogroup(firsts.groupBy("grp")).applyInArrow(send_hashes, "bucket long, grp long, hashes binary, docs binary, many binary")
     told = hashes.groupBy("bucket").applyInArrow(shared, SIDE_SQL)
     pieces = texts.cogroup(firsts.union(told).groupBy("grp")).applyInArrow(send_pieces, "bucket long, grp long, sizes binary, blob binary, keys binary, docs binary, counts binary, places binary, spans binary")
     spans = pieces.groupBy("bucket").applyInArrow(judge, SIDE_SQL)

@@ -1,14 +1,18 @@
 """URL filters: pattern rules found through their rarest literal token.
 
-Every pattern rule names the literal tokens that any matching URL holds. The rules are indexed
-by the one of these tokens that fewest URLs of the table hold; a URL's own tokens fetch the
-candidate rules, and regular expressions run for those only. Host and path rules of the kind
-``block net/`` come first; the longest that fits decides.
+A literal token of a rule is one that every URL that the pattern matches holds as a whole token; these
+are derived from the pattern. The rules are indexed by the one of these tokens that fewest URLs of
+the table hold; a URL's own tokens fetch the candidate rules, and regular expressions run for
+those only. A rule whose pattern forces no whole token is a candidate of every URL. Host and path
+rules of the kind ``block net/`` come first; the longest that fits decides.
+
+The index is one map of literals, held once by the plan: rules are few thousands at most.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no host rule;
-tokens of a null URL are none, so it is allowed. Repeated rows are each judged. Of several
-matching pattern rules the first in the list decides. Columns of the input that clash with the
-result's names are not carried over.
+tokens of a null URL are none, so it is allowed unless a pattern matches the empty text. Very long
+URLs are read whole; an empty table gives no rows, an empty rule list allows all. Repeated rows are each
+judged. Of several matching pattern rules the first in the list decides. Columns of the input that
+clash with the result's names are not carried over.
 """
 
 from __future__ import annotations
@@ -34,11 +38,126 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """pattern runs on the ASCII-lower-cased URL; literals: tokens that each match must hold whole."""
+    """pattern runs on the ASCII-lower-cased URL."""
 
     action: str
     pattern: str
-    literals: tuple[str, ...]
+
+    @property
+    def literals(self) -> tuple[str, ...]:
+        return whole_literals(self.pattern)
+
+
+TOKEN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
+#: Marks an atom that takes any character.
+ANY = TOKEN | {"other"}
+
+
+@dataclass(frozen=True)
+class Atom:
+    """A part of a pattern: its one text (if it has but one), whether it may be empty, and the
+    characters that it can start and end with (those that are in no token count as "other")."""
+
+    text: str | None
+    empty: bool
+    first: frozenset
+    last: frozenset
+
+
+def _kinds(chars) -> frozenset:
+    return frozenset(c if c in TOKEN else "other" for c in chars)
+
+
+def _class(body: str) -> frozenset:
+    if body.startswith("^"):
+        inner = _class(body[1:])
+        return (ANY - inner) | {"other"}
+    out, i = set(), 0
+    while i < len(body):
+        if body[i] == "\\":
+            raise ValueError("no escapes in classes")
+        if i + 2 < len(body) and body[i + 1] == "-":
+            out.update(map(chr, range(ord(body[i]), ord(body[i + 2]) + 1)))
+            i += 3
+        else:
+            out.add(body[i])
+            i += 1
+    return _kinds(out)
+
+
+def _whole(atoms: list[Atom]) -> Atom:
+    """A sequence as one atom."""
+    first, last = frozenset(), frozenset()
+    for a in atoms:
+        first |= a.first
+        if not a.empty:
+            break
+    for a in reversed(atoms):
+        last |= a.last
+        if not a.empty:
+            break
+    return Atom(None, all(a.empty for a in atoms), first, last)
+
+
+def _parse(p: str, i: int, depth: int) -> tuple[list[list[Atom]], int]:
+    """Alternatives of atoms from place i on, and the place behind them."""
+    out: list[list[Atom]] = [[]]
+    while i < len(p) and p[i] != ")":
+        c = p[i]
+        if c == "|":
+            out.append([])
+            i += 1
+            continue
+        if c == "(":
+            at = i + 3 if p.startswith("(?:", i) else i + 1
+            if p.startswith("(?", i) and at == i + 1:
+                raise ValueError("only plain groups")
+            inner, i = _parse(p, at, depth + 1)
+            parts = [_whole(x) for x in inner]
+            atom = Atom(None, any(x.empty for x in parts), frozenset().union(*(x.first for x in parts)), frozenset().union(*(x.last for x in parts)))
+        elif c == "[":
+            end = p.index("]", i + 2)
+            kinds = _class(p[i + 1 : end])
+            atom, i = Atom(None, False, kinds, kinds), end + 1
+        elif c == ".":
+            atom, i = Atom(None, False, ANY, ANY), i + 1
+        elif c in "^$":
+            raise ValueError("no anchors")
+        elif c == "\\":
+            if p[i + 1].isalnum():
+                raise ValueError("only escaped marks")
+            atom, i = Atom(p[i + 1], False, _kinds(p[i + 1]), _kinds(p[i + 1])), i + 2
+        else:
+            atom, i = Atom(c, False, _kinds(c), _kinds(c)), i + 1
+        if i < len(p) and p[i] in "*+?":
+            atom, i = Atom(None, atom.empty or p[i] != "+", atom.first, atom.last), i + 1
+        elif i < len(p) and p[i] == "{":
+            raise ValueError("no counted repeats")
+        out[-1].append(atom)
+    if (i < len(p)) != (depth > 0):
+        raise ValueError("parentheses do not match")
+    return out, i + 1
+
+
+def whole_literals(pattern: str) -> tuple[str, ...]:
+    """Tokens that every match of the pattern, wherever it lies in a URL, holds as whole tokens.
+
+    Understands literals, classes, plain groups, alternatives and the repeats * + ?; raises on others."""
+    ways, _ = _parse(pattern, 0, 0)
+    if len(ways) > 1:
+        return ()
+    atoms, found, i = ways[0], [], 0
+    while i < len(atoms):
+        j = i
+        while j < len(atoms) and atoms[j].text in TOKEN:
+            j += 1
+        if j > i:
+            before, after = _whole(atoms[:i]), _whole(atoms[j:])
+            # nothing on a side may be empty (the URL goes on there) or bring a character of a token
+            if not before.empty and not after.empty and not before.last & TOKEN and not after.first & TOKEN:
+                found.append("".join(a.text for a in atoms[i:j]))
+        i = max(j, i + 1)
+    return tuple(found)
 
 
 HOST_RULES = (
@@ -49,13 +168,13 @@ HOST_RULES = (
 )
 
 PATTERN_RULES = (
-    PatternRule("block", r"://([a-z0-9-]+[.])*spam-farm[.]", ("spam", "farm")),
-    PatternRule("block", r"://([a-z0-9-]+[.])*cheap-pills[.]", ("cheap", "pills")),
-    PatternRule("block", r"://([a-z0-9-]+[.])*adult-[a-z0-9]+[.]", ("adult",)),
-    PatternRule("block", r"://([a-z0-9-]+[.])*casino-[a-z0-9]+[.]", ("casino",)),
-    PatternRule("block", r"://([a-z0-9-]+[.])*free-bets[.]", ("free", "bets")),
-    PatternRule("block", r"://([a-z0-9-]+[.])*ads-track[.]", ("ads", "track")),
-    PatternRule("block", r"[?&]ref=x&.*utm_source=feed", ("ref", "x")),  # open at both ends of the rest
+    PatternRule("block", r"://([a-z0-9-]+[.])*spam-farm[.]"),
+    PatternRule("block", r"://([a-z0-9-]+[.])*cheap-pills[.]"),
+    PatternRule("block", r"://([a-z0-9-]+[.])*adult-[a-z0-9]+[.]"),
+    PatternRule("block", r"://([a-z0-9-]+[.])*casino-[a-z0-9]+[.]"),
+    PatternRule("block", r"://([a-z0-9-]+[.])*free-bets[.]"),
+    PatternRule("block", r"://([a-z0-9-]+[.])*ads-track[.]"),
+    PatternRule("block", r"[?&]ref=x&.*utm_source=feed"),
 )
 
 
@@ -88,9 +207,10 @@ def token_counts(pages: DataFrame, rules: tuple[PatternRule, ...]) -> dict[str,
 
 
 def rarest_token_index(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> dict[str, list[int]]:
+    """Numbers of the rules by their rarest literal; those without one under the empty token."""
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        index.setdefault(min(r.literals, key=lambda t: (counts.get(t, 0), t)), []).append(i)
+        index.setdefault(min(r.literals, key=lambda t: (counts.get(t, 0), t), default=""), []).append(i)
     return index
 
 
@@ -110,10 +230,11 @@ def judge(
         best = F.when(fits, F.struct(F.lit(r.name).alias("name"), F.lit(r.action).alias("action"))).otherwise(best)
 
     none = F.array().cast("array<int>")
-    found = none
+    always = F.array(*map(F.lit, index.pop("", []))).cast("array<int>")
+    found = always
     if index:
         keys = F.create_map(*[x for t, ids in index.items() for x in (F.lit(t), F.array(*map(F.lit, ids)))])
-        found = F.array_distinct(F.flatten(F.transform(F.col("_t"), lambda t: F.coalesce(F.element_at(keys, t), none))))
+        found = F.concat(always, F.array_distinct(F.flatten(F.transform(F.col("_t"), lambda t: F.coalesce(F.element_at(keys, t), none)))))
     df = df.withColumn("_c", found).withColumn("_u", ascii_lower(F.coalesce("url", F.lit(""))))
     patterns = F.array(*[F.lit(r.pattern) for r in rules]) if rules else F.array().cast("array<string>")
     actions = F.array(*[F.lit(r.action) for r in rules]) if rules else F.array().cast("array<string>")

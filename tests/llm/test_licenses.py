@@ -81,8 +81,47 @@ Unless required by applicable law or agreed to in writing, software
 distributed under the License is distributed on an "AS IS" BASIS."""
 
 
+BSD3 = BSD.replace("THIS SOFTWARE IS", """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS""")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Copyright 2024 A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; version 2 of the License."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software."""
+
+
+def test_an_earlier_rule_takes_its_sentences(spark):
+    got = scan(spark, [(1, BSD3), (2, BSD), (3, BSD3 + "\n\n" + BSD), (4, MIT)])
+    assert (got[1][2], got[1][3]) == (["BSD-3-Clause"], 1) and (got[2][2], got[2][3]) == (["BSD-2-Clause"], 1)
+    assert (got[3][2], got[3][3]) == (["BSD-2-Clause", "BSD-3-Clause"], 2) and got[4][3] == 1
+
+
+def test_a_very_long_text(spark):
+    got = scan(spark, [(1, "Some words of a line.\n" * 100_000 + "Released under the MIT License.")])
+    assert got[1] == (100_001, ["mit-line"], ["MIT"], 1)
+
+
 def test_verbatim_texts_wrapped_and_not(spark):
-    texts = {"MIT": MIT, "BSD": BSD, "GPL": GPL, "Apache-2.0": APACHE}
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD, "GPL-3.0-or-later": GPL, "Apache-2.0": APACHE, "BSD-3-Clause": BSD3, "MPL-2.0": MPL, "ISC": ISC, "LGPL-2.1-or-later": LGPL, "GPL-2.0-only": GPL2, "Unlicense": UNLICENSE}
     ways = {
         "wrapped": lambda t: t,
         "windows": lambda t: t.replace("\n", "\r\n"),
@@ -96,4 +135,4 @@ def test_verbatim_texts_wrapped_and_not(spark):
     assert missed == []
     assert got[0][1] == ["mit-1", "mit-2", "mit-3"] and got[5][1] == ["bsd-1", "bsd-2", "bsd-3"]
     heading = scan(spark, [(1, "Copyright 2024 A. Person\n" + BSD.split("\n\n", 1)[1]), (2, "A title\n" + MIT.split("\n\n", 2)[2])])
-    assert (heading[1][2], heading[2][2]) == (["BSD"], ["MIT"])
+    assert (heading[1][2], heading[2][2]) == (["BSD-2-Clause"], ["MIT"])

@@ -49,7 +49,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 20_000), (2, 2)])
+@pytest.mark.parametrize("seed,hot", [(1, 1_000), (2, 2), (3, 300)])
 def test_same_bytes_as_brute_force(spark, seed, hot):
     ship(spark)
     rows = corpus(seed)
@@ -92,3 +92,33 @@ def test_cuts_do_not_split_characters(spark):
     rows = [(1, "è" + "q" * 60), (2, a)]
     got = {r.doc_id: r.kept for r in repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True).collect()}
     assert got[1] == rows[0][1] and got[2] == "ééé"
+
+
+def test_hot_passage_is_counted_exactly_and_split(spark):
+    """Short documents, hundreds to a group, with one passage: beyond 255 in a group the exact number counts."""
+    ship(spark)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef ") for _ in range(70))
+    rows = [(i, "".join(rng.choice("ghij") for _ in range(30)) + passage + "".join(rng.choice("klmn") for _ in range(30))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 50)
+    for hot in (100, 600, 10**6):
+        assert result(repeats.dedup(df, hot_docs=hot)) == want
+
+
+def test_ids_that_are_missing_equal_or_extreme(spark):
+    ship(spark)
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abc") for _ in range(80))
+    rows = [(2**63 - 1, shared + "1"), (None, shared + "2"), (None, "q" + shared), (5, shared), (5, "w" + shared), (None, "other")]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(2**63 - 1, 81, 80), (None, 81, 80), (None, 81, 80), (5, 80, 0), (5, 81, 0), (None, 5, 0)], key=repr)
+
+
+def test_a_text_longer_than_a_group(spark):
+    ship(spark)
+    rng = random.Random(10)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(900_000))
+    rows = [(1, long), (2, "x" + long[400_000:400_300] + "y"), (3, long[1:] + "z")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=100_000, bucket_bytes=100_000).collect()}
+    assert got == {1: (0, 0), 2: (300, 1), 3: (899_999, 1)}
