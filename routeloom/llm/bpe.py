@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions
+from .common import portions, tidy
 
 NEVER = 1 << 40
 #: Chunks that a worker keeps encoded; at most so many, and none of more than CACHED_CHARS.
@@ -338,4 +338,4 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) ->
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, same boolean" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(go, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(go), schema)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 Turn = tuple[str, str]
 #: Head and tail of each known role's turns.
 MARKS = {"system": ("<s>[SYS]", "[/SYS]</s>\n"), "user": ("<s>[INST]", "[/INST]\n"), "assistant": ("[OUT]", "[/OUT]</s>\n")}
@@ -158,7 +160,7 @@ def formatted(conversations: DataFrame, to_text: Callable = template, read: Call
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     df = conversations.select(*(F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
-    return df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(go, SCHEMA)
+    return df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(tidy(go), SCHEMA)
 
 
 def digest_sql() -> str:

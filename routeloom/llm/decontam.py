@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, stored, tidy
 
 Q, RATE, BLOCK_CHARS, PIECE = 10, 0.08, 8_000_000, 120
 _BITS = 22
@@ -286,7 +286,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
                 types = [pa.int64()] * 4 + [pa.bool_()]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "item_id", "start", "end", "edits", "whole"])
 
-        one, blocks = texts.mapInArrow(go, kind), blocks + 1
+        one, blocks = texts.mapInArrow(tidy(go), kind), blocks + 1
         if blocks > 1 or sum(len(t or "") for _, t in rows) >= block_chars:  # there may be more blocks
             one = stored(one)
             sent.destroy()
@@ -304,7 +304,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
             for b in batches:
                 yield b.filter(pa.array([not x for x in find(b.column(at))], pa.bool_()))
 
-        before, out, blocks = out, out.mapInArrow(go, docs.schema), blocks + 1
+        before, out, blocks = out, out.mapInArrow(tidy(go), docs.schema), blocks + 1
         if blocks > 1 or sum(len(t or "") for _, t in rows) >= block_chars:
             out = stored(out)
             sent.destroy()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, with_least
-from .common import dropped, partitions, portions, stored
+from .common import dropped, partitions, portions, stored, tidy
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
 #: Texts and shingles of a block; a component of more of either is cut.
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "mark", "key", "node", "size", "bands"])
         _CACHE.clear()  # a worker goes on to other stages
 
-    return docs.select("id", "mark", "text").mapInArrow(go, "id long, mark long, key binary, node long, size long, bands array<long>")
+    return docs.select("id", "mark", "text").mapInArrow(tidy(go), "id long, mark long, key binary, node long, size long, bands array<long>")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -256,7 +256,7 @@ def classed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
         _CACHE.clear()
 
     # the hint keeps one plan at every size: texts go to their members' tasks, the few numbers are hashed there
-    held = base.join(members.hint("shuffle_hash"), ["id", "mark"]).select("node", "comp", "nb", "text").mapInArrow(to_sets, "node long, comp long, nb int, size long, shingles binary")
+    held = base.join(members.hint("shuffle_hash"), ["id", "mark"]).select("node", "comp", "nb", "text").mapInArrow(tidy(to_sets), "node long, comp long, nb int, size long, shingles binary")
     held = stored(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")))
     tasks = max(partitions(spark), candidate.count() // 2000 + 1)
     none = F.lit(0).cast("long")

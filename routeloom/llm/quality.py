@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions, tidy
+
 #: Labelled rows that learning reads at most; they are those with the smallest crc32 of the id.
 MAX_LABELLED = 20_000
 
@@ -89,14 +91,14 @@ def text_statistics(text: str | None) -> tuple:
 def _map(batches):
     names = ("doc_id", *COUNTS, *RATES)
     for b in batches:
-        rows = [text_statistics(t) for t in b.column("text").to_pylist()]
+        rows = [text_statistics(t) for texts in portions(b.column("text")) for t in texts]
         columns = list(zip(*rows)) or [()] * (len(names) - 1)
         kinds = [pa.int64()] * len(COUNTS) + [pa.float64()] * len(RATES)
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=list(names))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_map, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_map), SCHEMA)
 
 
 def base_failed(of=F.col) -> Column:
@@ -232,10 +234,10 @@ def kept(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 
     def go(batches):
         for b in batches:
-            rows = [dict(zip((*COUNTS, *RATES), text_statistics(t))) for t in b.column(at).to_pylist()]
+            rows = [dict(zip((*COUNTS, *RATES), text_statistics(t))) for texts in portions(b.column(at)) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], names=[*b.schema.names, name])
 
     fields = ", ".join([f"{c}: long" for c in COUNTS] + [f"{c}: double" for c in RATES])
     schema = docs.limit(0).withColumn(name, F.lit(None).cast(f"struct<{fields}>")).schema
     of = lambda f: F.col(name)[f]
-    return docs.mapInArrow(go, schema).where(~base_failed(of) & expression(rules, of)).drop(name)
+    return docs.mapInArrow(tidy(go), schema).where(~base_failed(of) & expression(rules, of)).drop(name)

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, portions
+from .common import partitions, portions, tidy
 
 END_ID = 1
 ROW_GROUP_BYTES = 8 << 20
@@ -136,7 +136,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange(partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(go, "doc_id long, n_tokens long, ids array<int>")
+        .mapInArrow(tidy(go), "doc_id long, n_tokens long, ids array<int>")
         .write.options(**OPTIONS)
         .parquet(path)
     )

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions
+from .common import portions, tidy
 
 MAX_LABELLED = 4000
 MAX_CHARS = 16_000_000  # of the labelled rows' texts, whole texts only
@@ -361,4 +361,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             p = model.probability(np.array(highest, float))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(unit, pa.string())], names=["doc_id", "score", "predicted", "unit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(go, "doc_id long, score double, predicted int, unit string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(go), "doc_id long, score double, predicted int, unit string")
