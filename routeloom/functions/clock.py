@@ -47,3 +47,19 @@ def runs_on(day: Column, start: Column, end: Column, weekdays: list[Column], exc
 
 def next_day_minutes(departure: Column, scheduled: Column) -> Column:
     return F.when(departure < scheduled, departure + 1440).otherwise(departure)
+
+
+def absolute_seconds(seconds: Column, day_offset: Column) -> Column:
+    """Seconds of a service day on the clock of the civil day that lies ``day_offset`` days before it."""
+    return (seconds + day_offset * 86_400).cast("long")
+
+
+def civil_timestamp(day: Column, seconds: Column) -> Column:
+    """The instant so many seconds after the civil day's midnight, as text with its zone."""
+    at = F.timestamp_add("SECOND", seconds, day.cast("timestamp_ntz"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))
+
+
+def operation_midnight(c: Column) -> Column:
+    """UTC midnight of a yyyyMMdd date; null if it is none."""
+    return feed_date(c).cast("timestamp")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from . import spatial
+
+#: Width of the ranges that a frontier is cut into.
+FRONTIER_STEP = 4096
 
 
 def decorate(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -20,17 +23,24 @@ def decorate(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def counterparts(stops: DataFrame, name: str, radius_m: float) -> DataFrame:
-    """Other stops of exactly the same name within the radius: an equi-join on the name."""
-    a = stops.where("latitude is not null")
-    b = a.select(F.col("node_id").alias("other_id"), F.col(name), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
-    d = haversine(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, name).where(F.col("node_id") != F.col("other_id")).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
+    """Other stops of exactly the same name within the radius: an equi-join on the name and the cells of a grid
+    as wide as the radius, so a name that very many stops have costs no more than their neighbours."""
+    return spatial.within(stops, stops, radius_m, also=(name,)).where(F.col("node_id") != F.col("near_node_id")).withColumnRenamed("near_node_id", "other_id")
 
 
 def frontier(labels: DataFrame, keys: list[str], first: str, second: str, tie: str) -> DataFrame:
-    """Labels that none of their group beats in both measures: sorted by the first, a running minimum of the second."""
-    w = Window.partitionBy(*keys).orderBy(first, second, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return labels.withColumn("_m", F.min(second).over(w)).where(F.col("_m").isNull() | (F.col(second) < F.col("_m"))).drop("_m")
+    """Labels that none of their group beats in both measures.
+
+    Of each first value only the least second one can stay, so the window runs over one row for each of them; the
+    window's rows are cut into ranges of the first measure, each told the least second measure ahead of it."""
+    best = labels.groupBy(*keys, first).agg(F.min(F.struct(second, tie, *[c for c in labels.columns if c not in (*keys, first, second, tie)])).alias("_x"))
+    best = best.select(*keys, first, "_x.*")
+    best = best.withColumn("_part", F.floor(F.col(first) / FRONTIER_STEP))
+    ahead = best.groupBy(*keys, "_part").agg(F.min(second).alias("_least"))
+    ahead = ahead.withColumn("_ahead", F.min("_least").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    w = Window.partitionBy(*keys, "_part").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    rows = best.join(ahead, [*keys, "_part"]).withColumn("_m", F.least(F.min(second).over(w), "_ahead"))
+    return rows.where(F.col("_m").isNull() | (F.col(second) < F.col("_m"))).select(*labels.columns)
 
 
 def sections(steps: DataFrame) -> DataFrame:

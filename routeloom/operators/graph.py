@@ -1,14 +1,7 @@
-"""Graph programs as loops of joins: components, least-transfer journeys, alternatives.
-
-Labels of many queries move together, keyed by query_id. Each layer is one shuffle on the key it
-joins on, tables between layers are saved, and a layer keeps the least label of each state, so a
-layer never holds more rows than queries times states.
-"""
+"""Connected components as a loop of joins on saved tables."""
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,69 +53,3 @@ def stop_components(seq: DataFrame, radius_m: float, save) -> DataFrame:
     rides = sequence.ride_edges(seq).select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
     joined = components(rides.union(spatial.near_links(seq, radius_m)), save)
     return seq.select(F.col("node_id").alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
-def min_transfers(seq: DataFrame, transfers: DataFrame, queries: DataFrame, layers: int | None, save) -> DataFrame:
-    """(query_id, node_id, transfers, rides, walk_m) of the best way to each stop in up to ``layers`` rides (None: any number).
-
-    Labels compare by (transfers, ride rows, walked metres). A layer walks the transfer edges of
-    the stops that the last one reached, boards, and rides on within the direction segment. From one
-    boarding of a segment the least (row offset, walk) is carried on: for a later row the cost is
-    its place plus the least of cost minus place of all boardings before, a running minimum."""
-    from pyspark.sql import Window
-
-    board = seq.where("can_board").select("route_id", "segment_id", "pos", F.col("node_id").alias("at"))
-    ahead = seq.select("route_id", "segment_id", "pos", F.col("node_id").alias("at"), "can_alight")
-    best = save(queries.select("query_id", "node_id", F.lit(-1).alias("transfers"), F.lit(0).cast("long").alias("rides"), F.lit(0.0).alias("walk_m")))
-    done = best
-    for layer in count() if layers is None else range(layers):
-        walked = best.where(F.col("transfers") == layer - 1).join(transfers, F.col("node_id") == F.col("from_node"))
-        if layer == 0:
-            walked = walked.where("kind = 'shared_node_id'")
-        at = walked.groupBy("query_id", "to_node").agg(F.min(F.struct("rides", (best["walk_m"] + transfers["walk_m"]).alias("walk"))).alias("l"))
-        on = at.join(board, F.col("to_node") == F.col("at")).select("query_id", "route_id", "segment_id", "pos", F.struct((F.col("l.rides") - F.col("pos")).alias("offset"), "l.walk").alias("label"))
-        segments = on.select("query_id", "route_id", "segment_id").distinct()
-        rows = segments.join(ahead, ["route_id", "segment_id"]).join(on, ["query_id", "route_id", "segment_id", "pos"], "left")
-        w = Window.partitionBy("query_id", "route_id", "segment_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        off = rows.withColumn("got", F.min("label").over(w)).where("got is not null and can_alight")
-        cost = F.struct(F.lit(layer).alias("transfers"), (F.col("got.offset") + F.col("pos")).alias("rides"), F.col("got.walk").alias("walk_m"))
-        new = off.select("query_id", F.col("at").alias("node_id"), cost.alias("c")).groupBy("query_id", "node_id").agg(F.min("c").alias("c")).select("query_id", "node_id", "c.*")
-        new = new.join(done.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
-        best = save(new)
-        done = save(done.unionByName(best)) if layers is None or layer < layers - 1 else done.unionByName(best)
-        if best.isEmpty():
-            break
-    return done.where("transfers >= 0")
-
-
-def jaccard(a, b):
-    """Share of common routes of two sets."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
-
-
-def alternatives(candidates: DataFrame, preference: str, most: int = 3) -> DataFrame:
-    """Ranked alternatives of each query from candidates with distinct route sets.
-
-    low_transfer orders by (transfers, rides, walk); reliable weighs walking more, challenge turns
-    the order of transfers round, diverse starts with the best and adds the one least like those
-    chosen. Each place is one aggregate over all candidates, so a query may have any number of them;
-    what is broadcast is a row of up to ``most`` chosen ones for each query."""
-    weights = {"low_transfer": (8, 120), "reliable": (6, 120), "challenge": (-2, 150), "diverse": (2, 150)}
-    t, m = weights[preference]
-    score = F.col("transfers") * t * 1000 + F.col("rides") * 100 + F.floor(F.col("walk_m") / m * 100)
-    rows = candidates.select("query_id", score.cast("long").alias("score"), "path_id", F.array_sort(F.array_distinct("routes")).alias("route_set"))
-    chosen = None
-    for _ in range(most):
-        likeness, taken, got = F.lit(0.0), F.lit(False), rows
-        if chosen is not None:
-            got, taken = rows.join(F.broadcast(chosen), "query_id"), F.exists("chosen", lambda g: g["route_set"] == F.col("route_set"))
-            if preference == "diverse":  # of equally unlike ones the best
-                likeness = F.array_max(F.transform("chosen", lambda g: jaccard(F.col("route_set"), g["route_set"])))
-        best = F.min(F.when(~taken, F.struct(likeness.alias("likeness"), "score", "path_id", "route_set"))).alias("x")
-        got = got.groupBy("query_id").agg(best, *([F.first("chosen").alias("chosen")] if chosen is not None else []))
-        one = F.array(F.struct("x.score", "x.path_id", "x.route_set"))
-        if chosen is not None:
-            one = F.when(F.col("x").isNull(), F.col("chosen")).otherwise(F.concat("chosen", one))
-        chosen = got.select("query_id", one.alias("chosen"))
-    return chosen.select("query_id", F.posexplode("chosen").alias("rank", "c")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("c.path_id").alias("path_id"), F.col("c.score").alias("score"), F.size("c.route_set").alias("routes"))

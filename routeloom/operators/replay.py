@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,15 +42,26 @@ def summary(days: DataFrame) -> DataFrame:
 def closed_form(budgets: DataFrame, delays: DataFrame) -> DataFrame:
     """Chance that all legs of a journey hold, and where it breaks first, by independent legs.
 
-    budgets: journey_id, leg, route_id, kind, budget; delays: route_id, kind, delay. One equi-join
-    and two aggregates instead of drawing; legs of one journey meet in one row."""
-    p = budgets.join(delays, ["route_id", "kind"]).groupBy("journey_id", "leg", "budget").agg(F.count("*").alias("n"), F.count_if(F.col("delay") <= F.col("budget")).alias("ok"))
-    legs = p.groupBy("journey_id").agg(F.array_sort(F.collect_list(F.struct("leg", (F.col("ok") / F.col("n")).alias("p")))).alias("legs"))
+    budgets: journey_id, leg, route_id, kind, budget; delays: route_id, kind, delay. The delays become a
+    histogram with running sums, of one row for each distinct delay; a leg meets the last of its rows that the budget
+    covers, found in the route's sorted list of them. No leg is joined with observations."""
+    n = delays.where("delay is not null").groupBy("route_id", "kind", "delay").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("route_id", "kind").orderBy("delay"))
+    steps = n.withColumn("upto", upto).groupBy("route_id", "kind").agg(F.array_sort(F.collect_list(F.struct("delay", "upto"))).alias("steps"), F.sum("n").alias("total"))
+    p = budgets.join(steps, ["route_id", "kind"])
+    covered = F.element_at(F.filter("steps", lambda x: x["delay"] <= F.col("budget")), -1)["upto"]
+    p = p.withColumn("p", F.coalesce(covered, F.lit(0)) / F.col("total"))
+    legs = p.groupBy("journey_id").agg(F.array_sort(F.collect_list(F.struct("leg", "p"))).alias("legs"))
     chance = F.aggregate("legs", F.lit(1.0), lambda a, x: a * x["p"])
     worst = F.array_min(F.transform("legs", lambda x: F.struct(x["p"].alias("p"), x["leg"].alias("leg"))))
     return legs.select("journey_id", F.size("legs").alias("legs"), chance.alias("success_probability"), worst["leg"].alias("weakest_leg"))
 
 
+def outcomes(matches: DataFrame) -> DataFrame:
+    """How many legs came to each verdict and reason, and which reason is the most common (of equals the least)."""
+    return matches.groupBy("verdict", "reason").agg(F.count("*").alias("legs")).withColumn("most_common", F.row_number().over(Window.partitionBy("verdict").orderBy(F.desc("legs"), F.asc_nulls_last("reason"))) == 1)
+
+
 def delay_samples(observed: DataFrame) -> DataFrame:
     """Seconds between predicted arrival and the nearest of the same clock time on the day before,
     the day itself and the day after. observed: key, predicted_s, scheduled_s (seconds of day)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, spelling_variants
@@ -39,5 +39,6 @@ def mode(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last row of each key in the order: a partial aggregate, no window."""
+    best = df.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in df.columns if c not in (*keys, *order)])).alias("_x"))
+    return best.select(*keys, "_x.*").select(*df.columns)

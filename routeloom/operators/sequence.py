@@ -104,3 +104,32 @@ def uniform_sample(seq: DataFrame, part: str, most: int) -> DataFrame:
     k = F.ceil(F.col("pos") * (most - 1) / (F.col("_n") - 1))
     at = F.floor(k * (F.col("_n") - 1) / (most - 1))
     return df.where((F.col("_n") <= most) | (at == F.col("pos"))).drop("_n")
+
+
+def validator_counters(seq: DataFrame) -> DataFrame:
+    """One row of counters over all sequences: order, direction, stops and coordinates of adjacent rows.
+
+    All flags come from one window by route; a route's flags are summed before anything is shuffled again."""
+    w = route()
+    last = lambda c: F.lag(c).over(w)
+    step = F.col("node_order") - last("node_order")
+    turned = F.coalesce((F.col("direction") != "") & (last("direction") != "") & (F.col("direction") != last("direction")), F.lit(False))
+    # a row without a valid place parts the rows around it
+    distance = haversine(last("latitude"), last("longitude"), F.col("latitude"), F.col("longitude"), AUDIT_RADIUS_M)
+    gap = step > 1
+    repeat = F.row_number().over(Window.partitionBy("route_id", "node_id").orderBy("pos")) > 1
+    flags = {
+        "negative_order_rows": F.col("node_order") < 0, "edges": step.isNotNull(), "non_increasing_edges": step <= 0, "order_gap_edges": gap, "boundary_gap_edges": gap & turned, "same_direction_gap_edges": gap & ~turned,
+        "self_loop_edges": F.col("node_id") == last("node_id"), "direction_change_edges": turned, "repeated_node_rows": repeat, "blank_direction_rows": F.col("direction") == "",
+        "missing_coordinate_rows": F.col("latitude").isNull() & F.col("longitude").isNull(), "partial_coordinate_rows": F.col("latitude").isNull() != F.col("longitude").isNull(),
+        "out_of_range_rows": ~F.col("latitude").between(-90, 90) | ~F.col("longitude").between(-180, 180),
+        **{f"segments_over_{k}km": distance > k * 1000 for k in (5, 20)}, **{f"boundaries_over_{m}m": turned & (distance > m) for m in (300, 1000, 5000)},
+    }
+    marked = seq.select("route_id", *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in flags.items()])
+    by = marked.groupBy("route_id").agg(F.count("*").alias("rows"), *[F.sum(n).alias(n) for n in flags])
+    return by.agg(F.count("*").alias("sequences"), F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in flags])
+
+
+def between_orders(seq: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of a ride: of each asked (route_id, from_pos, to_pos) those from one end to the other."""
+    return asked.join(seq, "route_id").where("pos between from_pos and to_pos")

@@ -26,18 +26,19 @@ def _around(df: DataFrame) -> DataFrame:
     return df
 
 
-def within(left: DataFrame, right: DataFrame, radius_m: float, sphere: float = PLANNER_RADIUS_M) -> DataFrame:
-    """Pairs within the radius. Both sides have latitude and longitude; the right side's columns get the prefix near_."""
+def within(left: DataFrame, right: DataFrame, radius_m: float, sphere: float = PLANNER_RADIUS_M, also: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within the radius, with equal ``also`` columns. Both sides have latitude and longitude; the right side's columns get the prefix near_."""
     a = _around(_cells(left, radius_m))
     b = _cells(right, radius_m)
-    b = b.select("_x", "_y", "_z", *[F.col(c).alias(f"near_{c}") for c in right.columns])
+    b = b.select("_x", "_y", "_z", *also, *[F.col(c).alias(f"near_{c}") for c in right.columns if c not in also])
     d = haversine(F.col("latitude"), F.col("longitude"), F.col("near_latitude"), F.col("near_longitude"), sphere)
-    return a.join(b, ["_x", "_y", "_z"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_x", "_y", "_z")
+    return a.join(b, ["_x", "_y", "_z", *also]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_x", "_y", "_z")
 
 
 def places(seq: DataFrame) -> DataFrame:
-    """One row for each stop that has a place."""
-    return seq.where("latitude is not null").groupBy("node_id").agg(F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"))
+    """One row for each stop that has a place; of differing ones the least."""
+    placed = seq.where("latitude is not null and longitude is not null")
+    return placed.groupBy("node_id").agg(F.min(F.struct("latitude", "longitude")).alias("x")).select("node_id", "x.latitude", "x.longitude")
 
 
 def exact_transfers(seq: DataFrame, city: str = "city_code") -> DataFrame:
@@ -50,9 +51,9 @@ def exact_transfers(seq: DataFrame, city: str = "city_code") -> DataFrame:
 
 
 def transfer_edges(states: DataFrame, radius_m: float) -> DataFrame:
-    """Transfers between stops: the same stop (0 m) before near ones; one row for each ordered pair of stops."""
+    """Transfers between stops: the same stop (0 m), placed or not, before near ones; one row for each ordered pair of stops."""
     p = places(states)
-    same = p.select(F.col("node_id").alias("from_node"), F.col("node_id").alias("to_node"), F.lit(0.0).alias("walk_m"), F.lit("shared_node_id").alias("kind"))
+    same = states.select("node_id").distinct().select(F.col("node_id").alias("from_node"), F.col("node_id").alias("to_node"), F.lit(0.0).alias("walk_m"), F.lit("shared_node_id").alias("kind"))
     near = within(p, p, radius_m).where("node_id <> near_node_id").select(F.col("node_id").alias("from_node"), F.col("near_node_id").alias("to_node"), F.col("distance_m").alias("walk_m"), F.lit("geodesic_proximity").alias("kind"))
     return same.unionByName(near)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, geo, text
-from ..operators import geometry, graph, observations, replay, schedule, search, sequence, spatial, versions
+from ..operators import geometry, graph, journeys, observations, replay, schedule, search, sequence, spatial, versions
 from ..sources import tables
 from ..streaming import passages as streaming
 from .. import storage
@@ -242,7 +242,8 @@ def gtfs_boarding_topk(spark, d):
 @query(f"""WITH {SERVICES}, {TIMES} SELECT trip_id, stop_id, route_id, service_id, departure_seconds, CAST(a AS VARCHAR) AS start_date, CAST(b AS VARCHAR) AS end_date FROM times JOIN trips USING (trip_id) JOIN cal USING (service_id) WHERE trip_id % 11 = 3 AND stop_id % 13 = 1""")
 def gtfs_exact_record(spark, d):
     t, trips = tables.stop_times(spark, d), tables.trips(spark, d)
-    r = t.where("trip_id % 11 = 3 and stop_id % 13 = 1").join(trips, "trip_id").join(tables.services(spark, d).select("service_id", "start_date", "end_date"), "service_id")
+    asked = t.where("trip_id % 11 = 3 and stop_id % 13 = 1").select("trip_id", "stop_id")
+    r = schedule.exact_record(t, trips, tables.services(spark, d), asked)
     return r.select("trip_id", "stop_id", "route_id", "service_id", "departure_seconds", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"))
 
 
@@ -259,16 +260,71 @@ def gtfs_earliest_arrival(spark, d):
     return schedule.earliest_arrival(schedule.connections(times), starts, 300, None, storage.saved).select("query_id", "stop", "arrival", "round")
 
 
+DAY, START_S, HORIZON_S = "1997-03-10", 3600, 10_800
+RIDES = f"""ex AS (SELECT DISTINCT service_id, service_date, 1 + CAST(day(service_date) % 2 AS INT) AS exception_type FROM trips WHERE trip_id % 97 = 0),
+cal AS (SELECT service_id, min(service_date) AS a, max(service_date) AS b FROM trips GROUP BY 1), days AS (SELECT o AS day_offset, CAST(DATE '{DAY}' + CAST(o AS INT) AS DATE) AS d FROM (VALUES (-1), (0), (1)) t(o)),
+run AS (SELECT cal.service_id, day_offset FROM cal CROSS JOIN days LEFT JOIN ex ON ex.service_id = cal.service_id AND ex.service_date = d WHERE CASE WHEN exception_type IS NOT NULL THEN exception_type = 1 ELSE d BETWEEN a AND b AND (isodow(d) - 1 + CAST(substr(cal.service_id, 1, 1) AS INT)) % 3 <> 0 END),
+bad AS (SELECT DISTINCT trip_id FROM (SELECT trip_id, departure_seconds, lag(departure_seconds) OVER (PARTITION BY trip_id ORDER BY stop_sequence, stop_id, tie) AS last_s FROM times) WHERE departure_seconds < last_s),
+ride AS MATERIALIZED (SELECT trip_id, day_offset, stop_id, pickup_type, drop_off_type, departure_seconds + day_offset * 86400 AS t, row_number() OVER (PARTITION BY trip_id, day_offset ORDER BY stop_sequence, stop_id, tie) AS n FROM times JOIN trips USING (trip_id) JOIN run USING (service_id) WHERE trip_id NOT IN (SELECT trip_id FROM bad)),
+b0 AS (SELECT * FROM (VALUES (1, 1, {START_S}), (2, 5, {START_S}), (3, 9, {START_S})) v(query_id, stop, arrival))"""
+
+
+def _round(k: int) -> str:
+    """SQL of the least arrivals with one boarding more."""
+    ready = "arrival" if k == 1 else f"arrival + CASE WHEN arrival = {START_S} THEN 0 ELSE 300 END"
+    return f"""b{k} AS MATERIALIZED (SELECT query_id, stop, min(arrival) AS arrival FROM (SELECT * FROM b{k - 1} UNION ALL SELECT query_id, y.stop_id, y.t FROM b{k - 1} b JOIN ride x ON x.stop_id = b.stop AND x.pickup_type = 0 AND x.t >= {ready} AND x.t <= {START_S + HORIZON_S}
+JOIN ride y ON y.trip_id = x.trip_id AND y.day_offset = x.day_offset AND y.n > x.n AND y.drop_off_type = 0 AND y.t <= {START_S + HORIZON_S}) GROUP BY ALL)"""
+
+
+@query(f"""WITH {TRIPS}, {TIMES}, {RIDES}, {", ".join(_round(k) for k in range(1, 8))} SELECT CAST(query_id AS BIGINT) AS query_id, CAST(stop AS BIGINT) AS stop, CAST(arrival AS BIGINT) AS arrival FROM b7""")
+def gtfs_schedule_arrival(spark, d):
+    """Least arrival by the calendars of the day before, the day and the day after, within the horizon."""
+    trips = tables.trips(spark, d)
+    exc = trips.where("trip_id % 97 = 0").select("service_id", "service_date", (1 + F.day("service_date") % 2).alias("exception_type")).distinct()
+    starts = spark.createDataFrame([(q, s, START_S) for q, s in ((1, 1), (2, 5), (3, 9))], "query_id long, stop long, arrival long")
+    rides = schedule.dated_rides(tables.stop_times(spark, d), trips.select("trip_id", "service_id"), tables.services(spark, d), exc, DAY)
+    return schedule.scheduled_arrival(rides, starts, 300, HORIZON_S, storage.saved).select("query_id", "stop", "arrival")
+
+
+@query(f"WITH {TRIPS} SELECT trip_id, t.service_id, CAST(a AS VARCHAR) AS start_date, CAST(b AS VARCHAR) AS end_date FROM trips t JOIN (SELECT service_id, min(service_date) AS a, max(service_date) AS b FROM trips GROUP BY 1) c ON c.service_id = t.service_id")
+def gtfs_trip_calendars(spark, d):
+    return schedule.trip_calendars(tables.trips(spark, d), tables.services(spark, d)).select("trip_id", "service_id", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"))
+
+
+REFERENCES = (("stop_times.stop_id", "SELECT l_partkey AS k FROM lineitem", "SELECT p_partkey AS k FROM part WHERE p_partkey % 50 <> 0"), ("stop_times.trip_id", "SELECT l_orderkey AS k FROM lineitem", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 50 <> 0"), ("trips.route_id", "SELECT o_custkey AS k FROM orders", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 50 <> 0"), ("routes.agency_id", "SELECT c_nationkey AS k FROM customer", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 5 <> 0"), ("agencies.region_id", "SELECT n_regionkey AS k FROM nation", "SELECT r_regionkey AS k FROM region"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS reference, count(*) AS rows, count(DISTINCT k) AS targets FROM ({c}) WHERE k NOT IN ({p})" for n, c, p in REFERENCES))
+def gtfs_all_references(spark, d):
+    t = lambda n: tables.table(spark, d, n)
+    keep = lambda df, c, m: df.where(F.col(c) % m != 0)
+    return schedule.broken_references({
+        "stop_times.stop_id": (t("lineitem"), "l_partkey", keep(t("part"), "p_partkey", 50), "p_partkey"), "stop_times.trip_id": (t("lineitem"), "l_orderkey", keep(t("orders"), "o_orderkey", 50), "o_orderkey"),
+        "trips.route_id": (t("orders"), "o_custkey", keep(t("customer"), "c_custkey", 50), "c_custkey"), "routes.agency_id": (t("customer"), "c_nationkey", keep(t("nation"), "n_nationkey", 5), "n_nationkey"),
+        "agencies.region_id": (t("nation"), "n_regionkey", t("region"), "r_regionkey"),
+    })
+
+
 # --- graphs -------------------------------------------------------------------------------------
 
 
-def _planning(spark, d, routes: str = "true"):
-    seq = sequence.with_segments(tables.sequences(spark, d).where(routes))
-    return seq, spatial.transfer_edges(seq, 300)
+RADIUS_M = 300
+#: query_id, origin, destination
+ASKED = tuple((q, 3 * q, (q * 37) % 190 + 5) for q in range(1, 41, 3))
+
+
+def _states(spark, d):
+    return sequence.with_segments(tables.sequences(spark, d)).join(tables.routes(spark, d).select("route_id", "city_code"), "route_id")
 
 
 def _questions(spark):
-    return spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "query_id long, node_id long")
+    return spark.createDataFrame(list(ASKED), "query_id long, origin long, destination long")
+
+
+def _ways(spark, d, **options):
+    states = storage.saved(_states(spark, d))  # every layer reads both
+    near = storage.saved(journeys.walks(states, RADIUS_M))
+    return journeys.search(states, near, _questions(spark), storage.saved, **options)
 
 
 @query()
@@ -284,41 +340,84 @@ def components_stops_300m(spark, d):
     return c.groupBy("root").agg(F.count("*").alias("stops")).groupBy("stops").agg(F.count("*").alias("components"))
 
 
-@query()
+STATES = f"""{SEQ}, {ROUTES}, {SEGMENTS}, st AS MATERIALIZED (SELECT segments.*, city_code FROM segments JOIN routes USING (route_id)),
+q(query_id, origin, destination) AS (VALUES {", ".join(map(str, ASKED))}),
+pl AS (SELECT DISTINCT node_id, latitude, longitude FROM seq WHERE latitude IS NOT NULL),
+nb AS MATERIALIZED (SELECT a.node_id AS f, b.node_id AS t, CAST(floor({distance("a.latitude", "a.longitude", "b.latitude", "b.longitude")} * 1000 + 0.5) AS BIGINT) AS mm FROM pl a JOIN pl b ON b.latitude BETWEEN a.latitude - 0.01 AND a.latitude + 0.01 WHERE {distance("a.latitude", "a.longitude", "b.latitude", "b.longitude")} <= {RADIUS_M}),
+r0 AS MATERIALIZED (SELECT query_id, a.route_id, a.city_code, b.node_id, [a.route_id] AS sig, min((b.pos - a.pos, 0)) AS c FROM q JOIN st a ON a.node_id = origin AND a.can_board JOIN st b ON b.route_id = a.route_id AND b.segment_id = a.segment_id AND b.pos > a.pos AND b.can_alight GROUP BY ALL)"""
+
+
+def _layer(n: int, best: bool) -> str:
+    """SQL of the ways with one ride more, by all routes (best: the least of each route and stop, else of each list of routes)."""
+    keep = "min((c[1] + b.pos - a.pos, c[2] + mm, list_append(sig, a.route_id)))" if best else "min((c[1] + b.pos - a.pos, c[2] + mm))"
+    last = f"r{n - 1}"
+    on_foot = f"SELECT query_id, r.route_id AS r, t AS node_id, NULL AS city, sig, c, mm FROM {last} r JOIN nb ON f = r.node_id"
+    at_stop = f"SELECT query_id, route_id AS r, node_id, city_code AS city, sig, c, 0 AS mm FROM {last}"
+    ride = "JOIN st a ON a.node_id = x.node_id AND a.can_board AND a.route_id <> r AND (city IS NULL OR a.city_code = city) JOIN st b ON b.route_id = a.route_id AND b.segment_id = a.segment_id AND b.pos > a.pos AND b.can_alight"
+    if best:
+        return f"""x{n} AS (SELECT query_id, a.route_id, a.city_code, b.node_id, {keep} AS m FROM ({at_stop} UNION ALL {on_foot}) x {ride} GROUP BY ALL), r{n} AS MATERIALIZED (SELECT query_id, route_id, city_code, node_id, m[3] AS sig, (m[1], m[2]) AS c FROM x{n})"""
+    return f"""r{n} AS MATERIALIZED (SELECT query_id, a.route_id, a.city_code, b.node_id, list_append(sig, a.route_id) AS sig, {keep} AS c FROM ({at_stop} UNION ALL {on_foot}) x {ride} GROUP BY ALL)"""
+
+
+ENDS = " UNION ALL ".join(f"SELECT q.query_id, {n} AS transfers, c[1] AS rides, c[2] AS walk_mm, sig FROM r{n} JOIN q ON q.query_id = r{n}.query_id AND node_id = destination" for n in range(4))
+
+
+@query(f"""WITH {STATES}, {_layer(1, True)}, {_layer(2, True)}, {_layer(3, True)}, e AS ({ENDS}), b AS (SELECT query_id, min((transfers, rides, walk_mm, sig)) AS m FROM e GROUP BY 1)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(m[1] AS BIGINT) AS transfers, CAST(m[2] AS BIGINT) AS rides, CAST(m[3] AS BIGINT) AS walk_mm, list_aggregate(m[4], 'string_agg', '>') AS routes FROM b""")
 def journey_min_transfers(spark, d):
-    seq, edges = map(storage.saved, _planning(spark, d))  # every layer reads them
-    return graph.min_transfers(seq, edges, _questions(spark), None, storage.saved).select("query_id", "node_id", "transfers", "rides", geo.metres(F.col("walk_m")).alias("walk_m"))
+    best = journeys.chosen(_ways(spark, d), "low_transfer", 1)
+    return best.select("query_id", "transfers", "rides", "walk_mm", F.array_join("sig", ">").alias("routes"))
 
 
-@query(f"""WITH {SEQ}, {SEGMENTS}, s AS (SELECT * FROM segments WHERE route_id % 20 = 0), q(query_id, node_id) AS (VALUES (1, 1), (2, 2), (3, 3), (4, 4)),
-r AS (SELECT query_id, b.node_id, b.pos - a.pos AS rides FROM q JOIN s a ON a.node_id = q.node_id AND a.can_board JOIN s b ON b.route_id = a.route_id AND b.segment_id = a.segment_id AND b.pos > a.pos AND b.can_alight)
-SELECT CAST(query_id AS BIGINT) AS query_id, node_id, CAST(min(rides) AS BIGINT) AS rides FROM r GROUP BY ALL""")
+@query(f"""WITH {STATES}, m AS (SELECT query_id, node_id, min(c[1]) AS rides FROM r0 GROUP BY ALL) SELECT CAST(query_id AS BIGINT) AS query_id, node_id, CAST(rides AS BIGINT) AS rides FROM m""")
 def journey_direct(spark, d):
-    seq, edges = _planning(spark, d, "route_id % 20 = 0")  # the routes that its SQL asks for
-    return graph.min_transfers(seq, edges, _questions(spark), 1, storage.saved).select("query_id", "node_id", "rides")
+    """Stops that one ride reaches from each question's origin."""
+    ahead = sequence.reachable(tables.sequences(spark, d))
+    q = _questions(spark).select("query_id", F.col("origin").alias("from_node"))
+    return ahead.join(q, "from_node").groupBy("query_id", F.col("to_node").alias("node_id")).agg(F.min(F.col("to_pos") - F.col("from_pos")).alias("rides"))
 
 
-def _candidates(spark, d, routes: str = "true", origins: str = "true", targets: str = "true"):
-    """Candidate journeys between two stops, one for each (first route, second route) by a shared stop."""
-    s = sequence.reachable(tables.sequences(spark, d).where(routes))
-    a = s.where(origins).select((F.col("from_node") % 7).alias("query_id"), F.col("route_id").alias("r1"), F.col("to_node").alias("via"), (F.col("to_pos") - F.col("from_pos")).alias("n1"))
-    b = s.where(targets).select(F.col("from_node").alias("via"), F.col("route_id").alias("r2"), (F.col("to_pos") - F.col("from_pos")).alias("n2"))
-    j = a.join(b, "via").where("r1 <> r2")
-    return j.select("query_id", F.concat_ws(">", "r1", "via", "r2").alias("path_id"), F.array("r1", "r2").alias("routes"), F.lit(1).alias("transfers"), (F.col("n1") + F.col("n2")).alias("rides"), F.lit(0.0).alias("walk_m"))
+def _all_ways(spark, d):
+    """Ways of at most one transfer, five labels of each state."""
+    return _ways(spark, d, k=5, extra=1, layers=2)
 
 
-@query()
-def journey_alternatives(spark, d):
-    return graph.alternatives(_candidates(spark, d), "diverse")
+ONE = f"""{STATES}, {_layer(1, False)}, e AS ({" UNION ALL ".join(ENDS.split(" UNION ALL ")[:2])}), w AS (SELECT query_id, transfers, rides, walk_mm, sig, round(rides + transfers * 6.0::DOUBLE + walk_mm / 120000.0::DOUBLE, 9) AS cost FROM e)"""
+RANKED = "CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, CAST(transfers AS BIGINT) AS transfers, CAST(rides AS BIGINT) AS rides, CAST(walk_mm AS BIGINT) AS walk_mm, list_aggregate(sig, 'string_agg', '>') AS routes"
+
 
+def _ranked(ways):
+    return ways.select("query_id", "rank", "transfers", "rides", "walk_mm", F.array_join("sig", ">").alias("routes"))
 
-@query(f"""WITH {SEQ}, {SEGMENTS}, s AS (SELECT * FROM segments WHERE route_id % 10 = 0), rch AS (SELECT a.route_id, a.node_id AS f, b.node_id AS t, b.pos - a.pos AS n FROM s a JOIN s b ON a.route_id = b.route_id AND a.segment_id = b.segment_id AND a.pos < b.pos WHERE a.can_board AND b.can_alight),
-c AS (SELECT x.f % 7 AS query_id, concat_ws('>', x.route_id, x.t, y.route_id) AS path_id, least(x.route_id, y.route_id) AS r1, greatest(x.route_id, y.route_id) AS r2, 8000 + (x.n + y.n) * 100 AS score FROM rch x JOIN rch y ON x.t = y.f WHERE x.route_id <> y.route_id AND x.f % 50 = 1 AND y.t % 50 = 2),
-b AS (SELECT query_id, r1, r2, min(score) AS score, arg_min(path_id, (score, path_id)) AS path_id FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, path_id) AS rank FROM b)
-SELECT query_id, rank, path_id, score, CAST(2 AS BIGINT) AS routes FROM k WHERE rank <= 3""")
+
+@query(f"""WITH {ONE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY transfers, rides, walk_mm, sig) AS rank FROM w) SELECT {RANKED} FROM k WHERE rank <= 3""")
 def journey_alternatives_low_transfer(spark, d):
-    asked = _candidates(spark, d, "route_id % 10 = 0", "from_node % 50 = 1", "to_node % 50 = 2")  # what its SQL asks for
-    return graph.alternatives(asked, "low_transfer")
+    return _ranked(journeys.chosen(_all_ways(spark, d), "low_transfer"))
+
+
+@query(f"""WITH {ONE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, transfers, walk_mm, sig) AS rank FROM w) SELECT {RANKED} FROM k WHERE rank <= 3""")
+def journey_alternatives_reliable(spark, d):
+    return _ranked(journeys.chosen(_all_ways(spark, d), "reliable"))
+
+
+@query(f"""WITH {ONE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -len(sig), cost, transfers, walk_mm, sig) AS rank FROM w) SELECT {RANKED} FROM k WHERE rank <= 3""")
+def journey_alternatives_challenge(spark, d):
+    return _ranked(journeys.chosen(_all_ways(spark, d), "challenge"))
+
+
+#: The second of the diverse ways is the least like the first one: no common route where there is such a way.
+@query(f"""WITH {ONE}, f AS (SELECT query_id, min((cost, transfers, walk_mm, sig)) AS m FROM w GROUP BY 1),
+l AS (SELECT w.*, round(len(list_intersect(sig, m[4])) / len(list_distinct(list_concat(sig, m[4]))), 9) AS alike FROM w JOIN f USING (query_id) WHERE sig <> m[4]),
+k AS (SELECT query_id, 1 AS rank, m AS m FROM f UNION ALL SELECT query_id, 2, (x[2], x[3], x[4], x[5]) FROM (SELECT query_id, min((alike, cost, transfers, walk_mm, sig)) AS x FROM l GROUP BY 1))
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, CAST(m[2] AS BIGINT) AS transfers, CAST(m[3] AS BIGINT) AS walk_mm, list_aggregate(m[4], 'string_agg', '>') AS routes FROM k""")
+def journey_alternatives(spark, d):
+    return _ranked(journeys.chosen(_all_ways(spark, d), "diverse", 2)).drop("rides")
+
+
+@query()
+def journey_steps(spark, d):
+    """Rides and changes of the best way of each question."""
+    return journeys.steps(journeys.chosen(_ways(spark, d), "low_transfer", 1))
 
 
 # --- geometry, names, streams -------------------------------------------------------------------
@@ -356,8 +455,34 @@ def stream_passages(spark, d):
     return streaming.drained(streaming.passages(_stream(spark, d), DAY_S), f"{folder}/out", f"{folder}/state").select(*EVENT)
 
 
-@query(f"""WITH {POLLS} SELECT epoch_us(date_trunc('day', observed_at)) AS window_us, route_id, count(*) AS polls FROM polls GROUP BY ALL""")
+#: Windows that the watermark (an hour behind the last poll) has closed.
+@query(f"""WITH {POLLS}, m AS (SELECT max(observed_at) AS last_at FROM polls) SELECT epoch_us(date_trunc('day', observed_at)) AS window_us, route_id, count(*) AS polls FROM polls, m WHERE date_trunc('day', observed_at) + INTERVAL 1 DAY <= last_at - INTERVAL 1 HOUR GROUP BY ALL""")
 def stream_window_counts(spark, d):
     folder = storage.folder(spark)
-    counts = streaming.drained(streaming.window_counts(_stream(spark, d)), f"{folder}/out", f"{folder}/state", "complete")
+    counts = streaming.drained(streaming.window_counts(_stream(spark, d)), f"{folder}/out", f"{folder}/state")
     return counts.select(F.unix_micros("window_start").alias("window_us"), "route_id", "polls")
+
+
+@query("""SELECT event_type || ':' || CAST(epoch_us(ts) // 300000000 AS VARCHAR) AS idempotency_key, count(*) AS kept FROM (SELECT DISTINCT event_type, epoch_us(ts) // 300000000 AS b, min(ts) AS ts FROM events GROUP BY ALL) GROUP BY 1""")
+def stream_deduped(spark, d):
+    folder = storage.folder(spark)
+    keyed = _stream(spark, d).withColumn("idempotency_key", F.concat_ws(":", "route_id", clock.time_bucket(F.col("observed_at"), 300).cast("string")))
+    out = streaming.drained(streaming.deduped(keyed), f"{folder}/out", f"{folder}/state")
+    return out.groupBy("idempotency_key").agg(F.count("*").alias("kept"))
+
+
+@query(f"""WITH {POLLS}, {STOPS} SELECT poll_id, p.node_order AS node_id, node_name FROM polls p LEFT JOIN stops s ON s.node_id = p.node_order""")
+def stream_stop_names(spark, d):
+    folder = storage.folder(spark)
+    names = tables.stops(spark, d).select("node_id", "node_name")
+    polls = _stream(spark, d).withColumn("node_id", F.col("node_order").cast("long"))
+    return streaming.drained(streaming.with_stop_names(polls, names), f"{folder}/out", f"{folder}/state").select("poll_id", "node_id", "node_name")
+
+
+@query(f"""WITH {POLLS}, g AS (SELECT *, CASE WHEN epoch_us(observed_at) - lag(epoch_us(observed_at)) OVER w < 3600000000 THEN 0 ELSE 1 END AS new FROM polls WINDOW w AS (PARTITION BY route_id, vehicle_no ORDER BY observed_at, poll_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY route_id, vehicle_no ORDER BY observed_at, poll_id ROWS UNBOUNDED PRECEDING) AS k FROM g), x AS (SELECT route_id, vehicle_no, k, min(observed_at) AS a, max(observed_at) + INTERVAL 1 HOUR AS b, count(*) AS polls FROM s GROUP BY ALL)
+SELECT route_id, vehicle_no, epoch_us(a) AS start_us, epoch_us(b) AS end_us, polls FROM x WHERE b <= (SELECT max(observed_at) - INTERVAL 1 HOUR FROM polls)""")
+def stream_sessions(spark, d):
+    folder = storage.folder(spark)
+    out = streaming.drained(streaming.sessions(_stream(spark, d), "1 hour"), f"{folder}/out", f"{folder}/state")
+    return out.select("route_id", "vehicle_no", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "polls")

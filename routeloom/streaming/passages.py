@@ -74,11 +74,7 @@ def with_stop_names(polls: DataFrame, stops: DataFrame) -> DataFrame:
     return polls.join(stops, "node_id", "left")
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a Parquet folder and read that."""
-    spark = stream.sparkSession
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    else:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there now into a Parquet folder, in append mode, and read that."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
