@@ -81,7 +81,8 @@ def search(seq: DataFrame, near: DataFrame, questions: DataFrame, save, k: int =
         done = _all(ended).groupBy("query_id").agg(F.min("transfers").alias("t")).where(F.col("t") + extra <= layer)
         going = rode.join(done, "query_id", "left_anti")
         at_stop = _boarded(going.withColumn("foot", zero), board, ["node_id", "city_code"])
-        on_foot = going.withColumnRenamed("node_id", "from_node").join(near.withColumnRenamed("walk_mm", "foot"), "from_node")
+        # on foot the city does not matter: of a stop the best over all cities set out
+        on_foot = _kept(going, ["query_id", "node_id"], k).withColumnRenamed("node_id", "from_node").join(near.withColumnRenamed("walk_mm", "foot"), "from_node")
         on_foot = on_foot.select("query_id", "route_id", F.col("to_node").alias("node_id"), "rides", (F.col("walk_mm") + F.col("foot")).alias("walk_mm"), "sig", "path", "foot")
         both = at_stop.unionByName(_boarded(_kept(on_foot, ["query_id", "node_id"], k), board, ["node_id"]))
         # of one sig the best, then the k best

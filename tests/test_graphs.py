@@ -1,10 +1,35 @@
-import heapq
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from routeloom.operators import graph, schedule, sequence, spatial
-from routeloom.storage import saved
+from routeloom import storage
+from routeloom.operators import graph, journeys, schedule, sequence, spatial
+
+
+@pytest.fixture(autouse=True)
+def small(spark):
+    """These loops run hundreds of jobs over a few rows: one task each, nothing compiled."""
+    few = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k, None) for k in few}
+    for k, v in few.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def saved(df):
+    """Rows kept by the driver; test_storage() writes files."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def test_storage(spark):
+    df = storage.saved(spark.range(5))
+    path = df._saved_at
+    assert df.count() == 5 and storage.listed(spark, path)
+    storage.dropped(df, spark.range(2))
+    assert storage.listed(spark, path) == []
 
 
 def network(seed, routes=14, stops=16):
@@ -19,38 +44,116 @@ def network(seed, routes=14, stops=16):
 ROW = "route_id long, pos int, node_order int, node_id long, latitude double, longitude double, direction string, can_board boolean, can_alight boolean"
 
 
-def test_min_transfers_against_dijkstra(spark):
-    for seed in (1, 2):
-        rows = network(seed)
-        seq = sequence.with_segments(spark.createDataFrame(rows, ROW))
-        edges = spatial.transfer_edges(seq, 400)
-        got = {(r.query_id, r.node_id): (r.transfers, r.rides, round(r.walk_m, 3)) for r in graph.min_transfers(seq, edges, spark.createDataFrame([(1, rows[0][3])], "query_id long, node_id long"), 4, saved).collect()}
-        table = [r.asDict() for r in seq.collect()]
-        walks = {}
-        for r in edges.collect():
-            walks.setdefault(r.from_node, []).append((r.to_node, r.walk_m, r.kind))
-        by = {}
-        for r in table:
-            by.setdefault((r["route_id"], r["segment_id"]), []).append(r)
-        best, heap = {}, [((-1, 0, 0.0), rows[0][3])]
-        while heap:
-            cost, node = heapq.heappop(heap)
-            if node in best and cost[0] >= 0 or cost[0] >= 3:
-                if node not in best:
-                    best[node] = cost
-                continue
-            if cost[0] >= 0:
-                best[node] = cost
-            for to, metres, kind in walks.get(node, []):
-                if cost[0] < 0 and kind != "shared_node_id":
+def plain_search(rows, walks, origin, destination, layers):
+    """Least (transfers, rides, walk_mm) by going through all states layer by layer."""
+    by = {}
+    for r in rows:
+        by.setdefault((r["route_id"], r["segment_id"]), []).append(r)
+
+    def rides(labels):
+        out = {}
+        for (route, seg, pos), (n, w) in labels.items():
+            for r in by[route, seg]:
+                if r["pos"] > pos and r["can_alight"]:
+                    key, c = (route, r["city_code"], r["node_id"]), (n + r["pos"] - pos, w)
+                    out[key] = min(out.get(key, c), c)
+        return out
+
+    labels = {(r["route_id"], r["segment_id"], r["pos"]): (0, 0) for r in rows if r["node_id"] == origin and r["can_board"]}
+    for t in range(layers):
+        there = rides(labels)
+        ends = [c for (_, _, node), c in there.items() if node == destination]
+        if ends:
+            return (t, *min(ends))
+        new = {}
+        for (route, city, node), (n, w) in there.items():
+            for r in rows:
+                if r["route_id"] == route or not r["can_board"]:
                     continue
-                for part in by.values():
-                    for a in part:
-                        if a["node_id"] == to and a["can_board"]:
-                            for b in part:
-                                if b["pos"] > a["pos"] and b["can_alight"]:
-                                    heapq.heappush(heap, ((cost[0] + 1, cost[1] + b["pos"] - a["pos"], cost[2] + metres), b["node_id"]))
-        assert got == {(1, n): (c[0], c[1], round(c[2], 3)) for n, c in best.items() if n != rows[0][3]}  # the origin needs no journey
+                d = 0 if r["node_id"] == node and r["city_code"] == city else walks.get((node, r["node_id"]))
+                if d is not None:
+                    key, c = (r["route_id"], r["segment_id"], r["pos"]), (n, w + d)
+                    new[key] = min(new.get(key, c), c)
+        labels = new
+    return None
+
+
+def found(spark, rows, questions, radius=400, **options):
+    seq = sequence.with_segments(spark.createDataFrame(rows, ROW)).withColumn("city_code", F.col("route_id") % 2)
+    near = journeys.walks(seq, radius)
+    q = spark.createDataFrame(questions, "query_id long, origin long, destination long")
+    return seq, near, journeys.search(seq, near, q, saved, **options)
+
+
+def test_least_transfers_against_plain_search(spark):
+    for seed in (1,):
+        rows = network(seed)
+        rows = [(*r[:4], *((None, None) if r[3] % 5 == 0 else r[4:6]), *r[6:]) for r in rows]  # some stops have no place
+        questions = [(n, a, b) for n, (a, b) in enumerate([(0, 5), (1, 9), (2, 13), (3, 10), (4, 15), (6, 7)])]
+        seq, near, ways = found(spark, rows, questions)
+        got = {r.query_id: (r.transfers, r.rides, r.walk_mm) for r in journeys.chosen(ways, "low_transfer", 1).collect()}
+        table, walks = [r.asDict() for r in seq.collect()], {(r.from_node, r.to_node): r.walk_mm for r in near.collect()}
+        want = {n: plain_search(table, walks, a, b, 12) for n, a, b in questions}
+        assert got == {n: c for n, c in want.items() if c}
+
+
+def line(route, *stops, direction=None, placed=False):
+    """A route's rows; stops lie a degree apart, so that nobody walks."""
+    return [(route, i, i, s, *((30.0 + s, 100.0) if placed else (None, None)), (direction or "0" * len(stops))[i], True, True) for i, s in enumerate(stops)]
+
+
+def test_stops_without_places_are_routed(spark):
+    _, _, ways = found(spark, line(2, 1, 2) + line(4, 2, 3) + line(6, 3, 4), [(1, 1, 4), (2, 4, 1)])
+    assert [(r.query_id, r.transfers, r.sig) for r in ways.collect()] == [(1, 2, [2, 4, 6])]
+
+
+def test_changes_between_cities_need_a_place(spark):
+    rows = line(2, 1, 2) + line(3, 2, 3)  # two cities
+    assert found(spark, rows, [(1, 1, 3)])[2].count() == 0
+    placed = line(2, 1, 2, placed=True) + line(3, 2, 3, placed=True)
+    assert found(spark, placed, [(1, 1, 3)])[2].first().transfers == 1
+
+
+def test_a_route_again_after_another_one(spark):
+    rows = line(2, 11, 12, 13, 14, direction="0011") + line(4, 11, 12) + line(6, 12, 13)
+    best = journeys.chosen(found(spark, rows, [(1, 11, 14)])[2], "low_transfer", 1).first()
+    assert best.sig == [2, 6, 2] and [(p.board_node, p.alight_node) for p in best.path] == [(11, 12), (12, 13), (13, 14)]
+    # not from a route to itself: its direction ends at 12 and no other route goes on
+    assert found(spark, line(2, 11, 12, 13, direction="001"), [(1, 11, 13)])[2].count() == 0
+
+
+def test_histories_that_meet_stay_apart(spark):
+    rows = line(2, 1, 2) + line(4, 1, 2) + line(6, 2, 3)
+    ways = found(spark, rows, [(1, 1, 3)], k=5, extra=1)[2]
+    assert {tuple(r.sig) for r in journeys.chosen(ways, "diverse").collect()} == {(2, 6), (4, 6)}
+    assert found(spark, rows, [(1, 1, 3)])[2].count() == 1
+
+
+def test_a_long_chain_and_a_layer_bound(spark):
+    rows = [x for i in range(5) for x in line(2 * i, i, i + 1)]
+    assert found(spark, rows, [(1, 0, 5)])[2].first().sig == [2 * i for i in range(5)]
+    assert found(spark, rows, [(1, 0, 5)], layers=2)[2].count() == 0
+
+
+def test_preferences(spark):
+    ways = spark.createDataFrame(
+        [(1, 0, 30, 0, [1]), (1, 1, 20, 120_000, [1, 2]), (1, 1, 22, 0, [3, 4]), (1, 2, 19, 0, [1, 2, 5]), (2, 0, 5, 0, [9])],
+        "query_id long, transfers int, rides long, walk_mm long, sig array<long>",
+    )
+    got = lambda p: [r.sig for r in journeys.chosen(ways, p).where("query_id = 1").orderBy("rank").collect()]
+    assert got("low_transfer") == [[1], [1, 2], [3, 4]]
+    assert got("reliable") == [[1, 2], [3, 4], [1]]  # costs 27, 28, 30 and 31
+    assert got("challenge") == [[1, 2, 5], [1, 2], [3, 4]]
+    assert got("diverse") == [[1, 2], [3, 4], [1]]
+    assert journeys.chosen(ways, "diverse").where("query_id = 2").count() == 1
+
+
+def test_steps_name_rides_and_changes(spark):
+    rows = line(2, 1, 2, 3) + line(4, 3, 4) + [(6, 0, 0, 50, 34.0, 100.0005, "0", True, True), (6, 1, 1, 60, None, None, "0", True, True)]
+    rows = [(*r[:4], 34.0, 100.0, *r[6:]) if r[3] == 4 else r for r in rows]
+    ways = found(spark, rows, [(1, 1, 60)])[2]
+    steps = [(r.kind, r.route_id, r.from_node, r.to_node) for r in journeys.steps(journeys.chosen(ways, "low_transfer", 1)).orderBy("step").collect()]
+    assert steps == [("ride", 2, 1, 3), ("transfer", None, 3, 3), ("ride", 4, 3, 4), ("walk", None, 4, 50), ("ride", 6, 50, 60)]
 
 
 def test_earliest_arrival_against_plain_search(spark):
@@ -87,20 +190,12 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), saved).count() == 0
 
 
-def test_diverse_alternatives_differ(spark):
-    c = spark.createDataFrame([(1, "p1", [1, 2], 1, 5, 0.0), (1, "p2", [1, 2], 1, 6, 0.0), (1, "p3", [1, 3], 1, 7, 0.0), (1, "p4", [8, 9], 3, 30, 0.0)], "query_id long, path_id string, routes array<long>, transfers int, rides int, walk_m double")
-    got = lambda p: [r.path_id for r in graph.alternatives(c, p, 2).orderBy("rank").collect()]
-    assert got("low_transfer") == ["p1", "p3"] and got("diverse") == ["p1", "p4"]
-    assert [r.path_id for r in graph.alternatives(c, "diverse", 5).orderBy("rank").collect()] == ["p1", "p4", "p3"]
-
-
-def test_real_chain_with_both_transfer_kinds(spark):
-    chain = [("A", 0, 20, 1, 36.599743, 127.295111), ("A", 1, 34, 2, 36.505150, 127.261382), ("B", 0, 35, 3, 36.505080, 127.261510), ("B", 1, 54, 4, 36.333435, 127.431404), ("C", 0, 21, 4, 36.333435, 127.431404), ("C", 1, 53, 5, 36.299640, 127.566340), ("D", 0, 1, 6, 36.299573, 127.566392), ("D", 1, 2, 7, 36.31, 127.58)]
-    rows = [(ord(r), p, o, n, lat, lon, "1", True, True) for r, p, o, n, lat, lon in chain]
-    seq = sequence.with_segments(spark.createDataFrame(rows, ROW))
-    out = {r.node_id: r for r in graph.min_transfers(seq, spatial.transfer_edges(seq, 300), spark.createDataFrame([(1, 1)], "query_id long, node_id long"), 5, saved).collect()}
-    assert out[5].transfers == 2 and 0 < out[5].walk_m < 15
-    assert out[7].transfers == 3
+def test_hub_is_dealt_over_salts(spark):
+    e = [(0, i) for i in range(1, 400)]
+    got = graph.components(spark.createDataFrame(e, "a long, b long"), saved)
+    assert got.count() == 400 and got.where("root = 0").count() == 400
+    least = graph.with_least(spark.createDataFrame(e + [(7, 9)], "a long, b long"), "a", "b", several=True)
+    assert least.count() == 399 and {r.m for r in least.collect()} == {1}
 
 
 def test_transfer_counts_equal_pairs(spark):

@@ -10,13 +10,13 @@ from routeloom.shipping import ship
 from routeloom.sources import files
 
 HEAD = ",".join(files.STOP_COLUMNS)
-LINE = "NODE-A,시청 앞,36.5000,127.3000,2026-08-30,101,25,세종,세종특별자치시"
+LINE = "P9001,물레방아 삼거리,35.8125,128.6250,2025-01-17,77,990,가람,가람군"
 
 
 def test_csv_profile(spark, tmp_path):
     (tmp_path / "stops.csv").write_text(f"﻿{HEAD}\n{LINE}\n", encoding="utf-8")
     df = files.csv(spark, f"{tmp_path}/stops.csv", files.STOP_COLUMNS)
-    assert df.first().node_id == "NODE-A" and df.first().city_name == "세종"
+    assert df.first().node_id == "P9001" and df.first().city_name == "가람"
     with pytest.raises(files.FormatError):
         files.csv(spark, f"{tmp_path}/stops.csv", {**files.STOP_COLUMNS, "없음": "x"})
 
@@ -31,11 +31,11 @@ def test_code_page_949(spark, tmp_path):
 
 
 FEED = {
-    "stops.txt": "stop_id,stop_name,stop_lat,stop_lon\nO,o,36.0,127.0\nX,x,36.1,127.0\nD,d,,\n",
-    "routes.txt": "route_id,route_short_name,route_long_name,route_type\nR1,1,,3\nR2,2,,2\nR3,3,,715\n",
-    "calendar.txt": "service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\nW,1,1,1,1,1,0,0,20260801,20260930\n",
-    "trips.txt": "route_id,service_id,trip_id,direction_id,trip_headsign\nR1,W,T1,0,up\n",
-    "stop_times.txt": "trip_id,arrival_time,departure_time,stop_id,stop_sequence,pickup_type,drop_off_type\nT1,23:50:00,23:50:00,O,1,,\nT1,24:20:00,24:20:00,X,2,1,0\n",
+    "stops.txt": "stop_id,stop_name,stop_lat,stop_lon\nM1,mill,35.2,128.4\nM2,ford,35.3,128.5\nM3,inn,,\n",
+    "routes.txt": "route_id,route_short_name,route_long_name,route_type\nB7,7,,3\nF2,2,,2\nC9,9,,715\n",
+    "calendar.txt": "service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\nwk,1,1,1,1,1,0,0,20250106,20250328\n",
+    "trips.txt": "route_id,service_id,trip_id,direction_id,trip_headsign\nB7,wk,B7-1,0,east\n",
+    "stop_times.txt": "trip_id,arrival_time,departure_time,stop_id,stop_sequence,pickup_type,drop_off_type\nB7-1,23:41:00,23:41:00,M1,1,,\nB7-1,24:13:30,24:13:30,M2,2,1,0\n",
 }
 
 
@@ -49,8 +49,8 @@ def test_feed(spark, tmp_path):
     archive(tmp_path / "feed.zip", FEED)
     files.unpack_feed(spark, f"{tmp_path}/feed.zip", f"{tmp_path}/feed")
     times = files.feed_times(files.feed_table(spark, f"{tmp_path}/feed", "stop_times")).orderBy("stop_sequence").collect()
-    assert [(r.departure_seconds, r.can_board, r.can_alight) for r in times] == [(85800, True, True), (87600, False, True)]
-    assert {r.route_id for r in files.bus_routes(files.feed_table(spark, f"{tmp_path}/feed", "routes")).collect()} == {"R1", "R3"}
+    assert [(r.departure_seconds, r.can_board, r.can_alight) for r in times] == [(85260, True, True), (87210, False, True)]
+    assert {r.route_id for r in files.bus_routes(files.feed_table(spark, f"{tmp_path}/feed", "routes")).collect()} == {"B7", "C9"}
     archive(tmp_path / "short.zip", {k: v for k, v in FEED.items() if k != "trips.txt"})
     archive(tmp_path / "unsafe.zip", {**FEED, "../x.txt": "a"})
     for bad in ("short", "unsafe"):

@@ -21,33 +21,6 @@ def lines(spark, tmp_path):
     return put
 
 
-def test_min_transfers_takes_every_route_and_ride(spark, lines):
-    d = lines([x for k in range(1, 8) for x in ((k, 1, k), (k, 2, k + 1))])
-    got = {(r.query_id, r.node_id): (r.transfers, r.rides) for r in QUERIES["journey_min_transfers"](spark, d).collect()}
-    assert got == {(q, s): (s - q - 1, s - q) for q in (1, 2, 3, 4) for s in range(q + 1, 9)}
-
-
-def test_alternatives_of_all_candidates(spark, lines):
-    rng = random.Random(3)
-    routes = {r: rng.sample(range(1, 40), 4) for r in range(1, 60)}
-    d = lines([(r, n, s) for r, stops in routes.items() for n, s in enumerate(stops)])
-    rides = [(r, stops[i], stops[j], j - i) for r, stops in routes.items() for i in range(4) for j in range(i + 1, 4)]
-    best = {}
-    for r1, origin, via, n1 in rides:
-        for r2, start, _, n2 in rides:
-            if via == start and r1 != r2:
-                k, x = (origin % 7, frozenset((r1, r2))), (2000 + (n1 + n2) * 100, f"{r1}>{via}>{r2}")
-                best[k] = min(best.get(k, x), x)
-    want = {}
-    for q in range(7):
-        rest, chosen = {s: x for (p, s), x in best.items() if p == q}, []
-        while rest and len(chosen) < 3:
-            s = min(rest, key=lambda s: (max([len(s & c) / len(s | c) for c in chosen], default=0), rest[s]))
-            chosen.append(s)
-            want[q, len(chosen)] = rest.pop(s)[::-1]
-    assert {(r.query_id, r.rank): (r.path_id, r.score) for r in QUERIES["journey_alternatives"](spark, d).collect()} == want
-
-
 def test_components_of_every_route(spark, lines):
     rng = random.Random(5)
     rows = [(r, n, s) for r in range(1, 5) for n, s in enumerate(rng.sample(range(1, 300), 3))]
