@@ -362,7 +362,7 @@ def _layer(n: int, best: bool) -> str:
 ENDS = " UNION ALL ".join(f"SELECT q.query_id, {n} AS transfers, c[1] AS rides, c[2] AS walk_mm, sig FROM r{n} JOIN q ON q.query_id = r{n}.query_id AND node_id = destination" for n in range(4))
 
 
-FEW = ASKED[:4]  # these go on for as many layers as it takes
+FEW = ASKED[:2]  # these go on for as many layers as it takes
 
 
 @query(f"""WITH {STATES.replace(", ".join(map(str, ASKED)), ", ".join(map(str, FEW)))}, {_layer(1, True)}, {_layer(2, True)}, {_layer(3, True)}, e AS ({ENDS}), b AS (SELECT query_id, min((transfers, rides, walk_mm, sig)) AS m FROM e GROUP BY 1)
