@@ -6,7 +6,7 @@ that starts there, and each inner node the leftmost least rank below it. A merge
 leaves of the merged position, of its left neighbour and of the swallowed one, each in
 logarithmic time, so a piece of n bytes takes O(n log n).
 
-Texts are cut at single spaces and line ends between two other characters, where no match of the
+For PATTERN, texts are cut at single spaces and line ends between two other characters, where no match of the
 pattern can cross; the chunks between are looked up in a bounded cache of encoded chunks, which
 changes no result. Null texts are empty; an empty text has no tokens; texts of any length are
 encoded whole; repeated rows give equal rows; the input's other columns are not carried over.
@@ -32,6 +32,8 @@ NEVER = 1 << 40
 #: Chunks that a worker keeps encoded; at most so many, and none of more than CACHED_CHARS.
 CACHED, CACHED_CHARS = 200_000, 64
 
+#: Fixed value: the pattern that chunks() is made for. Texts are not cut for any other one.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _RISK = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 
@@ -243,6 +245,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.cut = chunks if pattern == PATTERN else lambda text: [text]
         unknown = unknown_to_library(ranks, pattern)
         signs = "[" + "".join(map(regex.escape, unknown)) + "]"
         self.first_unknown = min(unknown, default=chr(0x10FFFF))
@@ -281,7 +284,7 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cache = self.cache
-        cut = [chunks(t) if t else [] for t in texts]
+        cut = [self.cut(t) if t else [] for t in texts]
         new = {c for cs in cut for c in cs if c not in cache}
         found = self._learn(list(new)) if new else {}
         if len(cache) + len(found) > CACHED:

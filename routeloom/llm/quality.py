@@ -8,7 +8,8 @@ Spark conditional.
 Words are runs of ``[^\\x20\\x09-\\x0D]``. Defined results: null and empty texts have no words and
 fail the base rule; statistics of repeated rows are equal; without labelled rows, or with one
 class only, the list is empty and everything that passes the base rule is kept. Labels and ids are
-never inputs of a rule. The input's other columns are not carried over.
+never inputs of a rule. Texts of any length are read whole. An empty table gives no rows. Of labelled rows with one
+id that one teaches whose statistics come first. The input's other columns are not carried over.
 """
 
 from __future__ import annotations
@@ -210,7 +211,9 @@ def learned_from(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
     if not rows:
         return []
     few = docs.sparkSession.createDataFrame(rows, some.schema)
-    x = statistics(docs.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")).where(~base_failed()).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    x = statistics(docs.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")).where(~base_failed()).toPandas()
+    # of texts with one id the one with the least statistics, whatever order the files have
+    x = x.sort_values(["doc_id", *COUNTS, *RATES]).drop_duplicates("doc_id")
     quality = {r["doc_id"]: r["quality"] for r in rows}
     bad = np.array([quality[d] == 0 for d in x["doc_id"]], bool)
     if not len(bad) or bad.all() or not bad.any():

@@ -11,8 +11,10 @@ Chunks between spaces, tabs and line ends are encoded one by one and kept in a b
 tokenizer's word pattern never crosses white space, so that changes no id. Chunks of printable
 characters below U+0250, where normalising is lower-casing and nothing else, are cut by the file's
 own word pattern and go straight to the library's model; all others go through the whole library. Null and empty texts
-have the end id only. Rows with equal doc_id are all written; their order is by text. Input
-columns other than doc_id and text are not written.
+have the end id only. Rows with equal or null doc_id are all written, ordered by a hash of the text and then
+the text, and spread over files by that hash; null ids come first. An empty table gives no rows. Texts of any
+length are encoded whole. Input columns other than doc_id and text are not written. There is a file for
+FILE_BYTES of text, and no fewer than shuffle partitions; files are put in order by their part number.
 """
 
 from __future__ import annotations
@@ -30,13 +32,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, portions, tidy
+from .common import partitions, portions, text_bytes, tidy
 
 END_ID = 1
 ROW_GROUP_BYTES = 8 << 20
+FILE_BYTES = 128 << 20
 CACHED, CACHED_CHARS = 600_000, 64
 _WORDS = re.compile(r"[^ \t\r\n]+").findall
 _TOKENIZERS: dict[str, _Tokenizer] = {}
+#: The normalisers that the short way stands for.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 OPTIONS = {
     "parquet.block.size": str(ROW_GROUP_BYTES),
@@ -63,10 +68,10 @@ class _Tokenizer:
         self.other = re.compile("|".join(["[^!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]", *specials])).search
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
-        norm = [n["type"] for n in parts["normalizer"]["normalizers"]]
+        norm = parts["normalizer"]["normalizers"]
         split, level = parts["pre_tokenizer"]["pretokenizers"]
         #: Whether the short way below is what this file says.
-        self.plain = norm == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"] and level["type"] == "ByteLevel" and not level["use_regex"]
+        self.plain = norm == NORMALISERS and split["type"] == "Split" and split["invert"] and level["type"] == "ByteLevel" and not level["use_regex"]
         self.find = regex.compile(split["pattern"]["Regex"]).findall if self.plain else None
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
@@ -131,11 +136,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "n_tokens", "ids"])
 
-    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    files = max(partitions(docs.sparkSession), -(-text_bytes(rows) // FILE_BYTES))
+    mark = F.xxhash64("text")  # deals the rows of one id, and orders them
     (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        rows.repartitionByRange(files, "doc_id", mark)
+        .sortWithinPartitions("doc_id", mark, "text")
         .mapInArrow(tidy(go), "doc_id long, n_tokens long, ids array<int>")
         .write.options(**OPTIONS)
         .parquet(path)
@@ -159,7 +165,8 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
 
     rows = read(spark, path).mapInArrow(crc, "doc_id long, n_tokens long, ids_crc32 long, file string, row long")
     sizes = spark.read.schema("doc_id long, n_tokens long").parquet(path).select(F.col("_metadata.file_name").alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    # one row a file: names sort as the range partitions do
-    before = sizes.select("file", F.coalesce(F.sum("size").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # one row a file; the part number is that of the range partition
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = sizes.select("file", F.coalesce(F.sum("size").over(Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_in", inside).join(F.broadcast(before), "file").select("doc_id", (F.col("base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")

@@ -17,8 +17,8 @@ unit's three-character subsequences of a table, divided by the unit's own norm.
 
 Defined results: null and empty texts have no unit and get the score of an unseen unit; scores of
 equal texts are equal; without labels, or with one class, every score is the share of toxic
-labels (0 if none). Learning reads at most MAX_LABELLED rows (those with the smallest crc32 of
-crc32, a fixed sample) and no column but text and the label. The input's other columns are not
+labels (0 if none); an empty table gives no rows. Learning reads at most MAX_LABELLED rows (those with the
+smallest crc32 of crc32, a fixed sample) and MAX_CHARS characters of their texts, and no column but text and the label. The input's other columns are not
 carried over.
 """
 
@@ -64,10 +64,11 @@ def units(text: str | None) -> set[str]:
 def _codes(words: list[str], n: int) -> np.ndarray:
     """Rows of character numbers of words of length n."""
     x = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
-    return _NUMBER[np.minimum(x, 0x250)] + (x >= 0x250) * 0
+    return np.where(x <= 0x250, _NUMBER[np.minimum(x, 0x250)], OTHERS + x % (SIZE - OTHERS))
 
 
-_NUMBER = np.array([_CODE.get(chr(c), len(ALPHABET) + 1 + c % (SIZE - len(ALPHABET) - 1)) for c in range(0x251)], np.int64)
+OTHERS = len(ALPHABET) + 1  # the first of the shared numbers
+_NUMBER = np.array([_CODE.get(chr(c), OTHERS + c % (SIZE - OTHERS)) for c in range(0x251)], np.int64)
 
 
 def _triples(n: int):

@@ -81,3 +81,17 @@ def test_frame(spark):
     assert [r.n_tokens for r in out] == [len(r.ids) for r in out] and out[1].n_tokens == 0
     assert out[3].decoded_sha256 == hashlib.sha256("ß\n\n 中".encode()).hexdigest()
     assert bpe.encoded(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+def test_other_patterns_are_not_cut():
+    import public_tokenizers as P
+    import tiktoken
+
+    from routeloom.llm import bpe
+
+    assert bpe.PATTERN == P.PATTERN
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    of = tiktoken.Encoding("probe", pat_str=r"\S+ \S+|\s+|\S+", mergeable_ranks=ranks, special_tokens={})
+    c = bpe.Codec(ranks, r"\S+ \S+|\s+|\S+")
+    for t in ("a b", "one two three four", "of the", "x\ny z", ""):
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == of.encode_ordinary(t), t

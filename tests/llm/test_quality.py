@@ -73,3 +73,11 @@ def test_expression_is_ordered(spark):
     df = spark.createDataFrame([(2.0, 5.0), (0.2, -1.0), (0.7, -1.0)], "a double, b double")
     assert [r[0] for r in df.select(Q.expression(rules)).collect()] == [False, False, True]
     assert [r[0] for r in df.select(Q.expression(rules, lambda f: F.col(f))).collect()] == [False, False, True]
+
+
+def test_same_list_in_any_order_of_the_files(spark):
+    ship(spark)
+    rows = [(i % 60, ("#$% thing" if i % 3 else "plain words") + f" {i} that go on for more than ten words in all of it " + "!" * (i % 7), 9) for i in range(180)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, quality int")
+    lists = [Q.learned_from(spark.createDataFrame(r, "doc_id long, text string, kept int").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert lists[0] == lists[1]

@@ -47,3 +47,37 @@ def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), folder, PATH)
     assert token_files.summary(spark, folder).count() == 0
+
+
+def test_one_id_many_texts_and_clashing_columns(spark, tmp_path, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(token_files, "FILE_BYTES", 400)
+    rows = [(None, None), (None, "a b")] + [(7, f"text {i % 90} of one id") for i in range(180)] + [(8, "end")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2, "f") for r in rows], "doc_id long, text string, n_tokens int, ids string, row int, file string")
+    folder = f"file://{tmp_path}/one"
+    token_files.write(docs, folder, PATH)
+    got = sorted(token_files.summary(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 2 + [7] * 180 + [8]
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    whole = Tokenizer.from_file(PATH)
+    want = sorted(zlib.crc32(np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
+    held = [f for f in glob.glob(f"{tmp_path}/one/*.parquet") if 7 in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
+    assert len(held) > 3
+
+
+def test_files_in_order_of_part_numbers(spark, tmp_path):
+    ship(spark)
+    for part, d in (("part-99999-x", 1), ("part-100000-x", 2)):
+        t = spark.createDataFrame([(d, d + 2, [5] * (d + 2))], "doc_id long, n_tokens long, ids array<int>").toArrow()
+        pq.write_table(t, f"{tmp_path}/{part}.parquet")
+    assert {r.doc_id: r.start for r in token_files.summary(spark, f"file://{tmp_path}").collect()} == {1: 0, 2: 3}
+
+
+def test_other_normalisers_go_through_the_library(tmp_path):
+    text = open(PATH, encoding="utf-8").read()
+    changed = text.replace('"content":" "', '"content":"z"', 1) if '"content":" "' in text else text.replace('"content": " "', '"content": "z"', 1)
+    assert changed != text
+    other = tmp_path / "other.json"
+    other.write_text(changed, encoding="utf-8")
+    assert token_files._Tokenizer(PATH).plain and not token_files._Tokenizer(str(other)).plain

@@ -97,3 +97,18 @@ def test_character_bound_takes_rows_in_hash_order(spark, monkeypatch):
     labels = spark.createDataFrame([(d, d % 2) for d in order], "doc_id long, toxic int")
     want = [d for d in order if d not in long][:5]
     assert T.learned_from(docs, labels, chars=500) == [texts[d] for d in sorted(want)]
+
+
+def test_other_scripts_are_told_apart():
+    a, b = "идиот", "хлеба"
+    assert len({tuple(r) for r in T._codes([a, b, "漢字文語彙"], 5).tolist()}) == 3
+    assert T._codes(["ɐabcd", "идиот"], 5).max() < T.SIZE
+    assert T.kernel([a], [a])[0, 0] > 0.999 and T.kernel([a], [b])[0, 0] < 0.5
+
+
+def test_clashing_columns(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(1, "blockhead you", 0.5, 1, "u", 1), (2, "a calm word", 0.1, 0, "u", 0)], "doc_id long, text string, score double, predicted int, unit string, toxic int")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y")], "doc_id long, toxic int, text string")
+    out = T.scored(docs, T.learned_from(docs, labels))
+    assert out.columns == ["doc_id", "score", "predicted", "unit"] and out.count() == 2
