@@ -112,3 +112,52 @@ def test_clashing_columns(spark):
     labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y")], "doc_id long, toxic int, text string")
     out = T.scored(docs, T.learned_from(docs, labels))
     assert out.columns == ["doc_id", "score", "predicted", "unit"] and out.count() == 2
+
+
+def stems(n, seed):
+    """Toxic documents hold four words of one stem, every sixth clean one holds one such word; others hold one plain insult."""
+    rng = random.Random(seed)
+    syllables = ["ta", "re", "ing", "so", "li", "en", "mo", "pa", "ku", "dra", "fel"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for d in range(n):
+        kind = rng.random()
+        extra = []
+        if kind < 0.1:
+            extra = ["zwirk" + word() for _ in range(4)]
+        elif kind < 0.2:
+            extra = [rng.choice(["blockhead", "scoundrel"])]
+        elif kind < 0.33:
+            extra = ["zwirk" + word()]
+        words = [word() for _ in range(rng.randrange(30, 90))] + extra
+        rng.shuffle(words)
+        rows.append((" ".join(words), kind < 0.2))
+    return rows
+
+
+def test_one_clear_insult_or_several_likely_ones():
+    bags = T.Bags()
+    for text, _ in (learn := stems(900, 3)):
+        bags.add(text)
+    model = T.fit(bags, np.array([t for _, t in learn]))
+    held = stems(300, 4)
+    p = model.probability(np.array([model.highest(model.unit_scores(sorted(T.units(x)))) for x, _ in held]))
+    toxic = np.array([t for _, t in held])
+    assert (p[toxic] >= 0.5).mean() > 0.9 and (p[~toxic] >= 0.5).mean() < 0.03
+
+
+def test_curve_of_a_falling_share_is_flat():
+    a, b = T._logistic(np.array([0.0, 1.0] * 20), np.array([1.0, 0.0] * 20))
+    assert a == 0 and abs(b) < 1e-9
+
+
+def test_no_unit_is_the_least_score():
+    bags = T.Bags()
+    rows = made(300, 2)
+    for _, text, _ in rows:
+        bags.add(text)
+    model = T.fit(bags, np.array([t == 1 for *_, t in rows]))
+    none = model.highest(np.zeros(0))
+    assert (none == model.least).all() and model.unit_scores(["x"])[0] == model.least
+    every = np.array([model.highest(model.unit_scores(sorted(T.units(x)))) for _, x, _ in rows])
+    assert model.probability(none[None])[0] <= model.probability(every).min() + 1e-12 and model.probability(none[None])[0] < 0.5
