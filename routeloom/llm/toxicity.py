@@ -322,7 +322,13 @@ def fit(made: Bags, toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMAR
         chosen = hard + chosen
     model.least = float(score.min())
     top = np.array([model.highest(score[b]) for b in bags])
-    model.curves = [_logistic(x, toxic.astype(float)) for x in top.T]
+    # from the last curve to the first: where clean documents score as high, toxic ones that a later curve finds don't count again
+    found = np.zeros(len(top), bool)
+    for x in top.T[::-1]:
+        use = ~(found & toxic & (x <= np.quantile(x[~toxic], 0.995)))
+        curve = _logistic(x[use], toxic[use].astype(float))
+        model.curves.insert(0, curve)
+        found |= curve[0] * x + curve[1] >= 0
     return model
 
 
