@@ -23,9 +23,16 @@ def decorate(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def counterparts(stops: DataFrame, name: str, radius_m: float) -> DataFrame:
-    """Other stops of exactly the same name within the radius: an equi-join on the name and the cells of a grid
-    as wide as the radius, so a name that very many stops have costs no more than their neighbours."""
-    return spatial.within(stops, stops, radius_m, also=(name,)).where(F.col("node_id") != F.col("near_node_id")).withColumnRenamed("near_node_id", "other_id")
+    """Other stops of exactly the same name within the radius: node_id, the name, other_id, distance_m.
+
+    Distances are taken once for each two places of a name, by an equi-join on the name and the cells of a grid as
+    wide as the radius; stops then join the places that they lie at. Nothing is broadcast: all sides grow with the stops."""
+    at = stops.where("latitude is not null and longitude is not null").select("node_id", name, "latitude", "longitude")
+    places = at.select(name, "latitude", "longitude").distinct()
+    near = spatial.within(places, places, radius_m, also=(name,)).select(name, "latitude", "longitude", "near_latitude", "near_longitude", "distance_m")
+    other = at.select(F.col("node_id").alias("other_id"), name, F.col("latitude").alias("near_latitude"), F.col("longitude").alias("near_longitude"))
+    pairs = at.hint("merge").join(near, [name, "latitude", "longitude"]).hint("merge").join(other, [name, "near_latitude", "near_longitude"])
+    return pairs.where(F.col("node_id") != F.col("other_id")).select("node_id", name, "other_id", "distance_m")
 
 
 def frontier(labels: DataFrame, keys: list[str], first: str, second: str, tie: str) -> DataFrame:
