@@ -2,8 +2,11 @@
 
 import random
 
+import __spark_entry__  # noqa: F401  registers the queries
+from routeloom import storage
 from routeloom.functions import geo
 from routeloom.operators import candidates
+from routeloom.plans.registry import QUERIES
 
 
 def test_counterparts_of_crowded_places(spark, tmp_path):
@@ -18,3 +21,26 @@ def test_counterparts_of_crowded_places(spark, tmp_path):
     want = pairs.where("a <> b").select("a", "b", geo.haversine(*map(pairs.__getitem__, "pquv"), geo.PLANNER_RADIUS_M).alias("d")).where("d <= 1500")
     want = sorted(map(tuple, want.collect()))
     assert want and sorted((r.node_id, r.other_id, r.distance_m) for r in got.collect()) == want
+
+
+def crowded(spark, d):
+    """One question's way changes on foot at a place of 60 stops, of which each has a route."""
+    lines = [(1, 1, 3), (1, 2, 10), (2, 1, 410), (2, 2, 42), *(x for j in range(2, 60) for x in ((10 + j, 1, 10 + 400 * j), (10 + j, 2, 11 + 400 * j)))]
+    spark.createDataFrame([(r, n, s, 1, "O", "N") for r, n, s in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(r, 1) for r in {x[0] for x in lines}], "o_orderkey long, o_custkey long").selectExpr("*", "'O' as o_orderstatus", "'1' as o_orderpriority", "timestamp'2024-01-01' as o_orderdate", "1D as o_totalprice").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(1, 1)], "c_custkey long, c_nationkey int").write.parquet(f"{d}/customer.parquet")
+    return len(lines)
+
+
+def test_crowded_places_are_not_paired(spark, tmp_path, monkeypatch):
+    n, counts, save = crowded(spark, tmp_path), [], storage.saved
+
+    def saved(df):
+        out = save(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(storage, "saved", saved)
+    got = QUERIES["journey_min_transfers"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 2, 0, "1>2")]
+    assert max(counts) == n  # before: 60 * 60 pairs of stops
