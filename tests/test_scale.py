@@ -44,3 +44,17 @@ def test_crowded_places_are_not_paired(spark, tmp_path, monkeypatch):
     got = QUERIES["journey_min_transfers"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(1, 1, 2, 0, "1>2")]
     assert max(counts) == n  # before: 60 * 60 pairs of stops
+
+
+def test_steps_across_a_crowded_place(spark, tmp_path, monkeypatch):
+    n, counts, save = crowded(spark, tmp_path), [], storage.saved
+
+    def saved(df):
+        out = save(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(storage, "saved", saved)
+    got = QUERIES["journey_steps"](spark, str(tmp_path)).orderBy("step").collect()
+    assert [(r.kind, r.route_id, r.from_node, r.to_node, r.rows, r.walk_mm) for r in got] == [("ride", 1, 3, 10, 1, 0), ("walk", None, 10, 410, 0, 0), ("ride", 2, 410, 42, 1, 0)]
+    assert max(counts) == n
