@@ -1,11 +1,13 @@
 """Plans and amounts that must not grow with the square of a crowded place, nor in the driver."""
 
 import random
+import re
+import time
 
 import __spark_entry__  # noqa: F401  registers the queries
 from routeloom import storage
 from routeloom.functions import geo
-from routeloom.operators import candidates
+from routeloom.operators import candidates, journeys
 from routeloom.plans.registry import QUERIES
 
 
@@ -58,3 +60,43 @@ def test_steps_across_a_crowded_place(spark, tmp_path, monkeypatch):
     got = QUERIES["journey_steps"](spark, str(tmp_path)).orderBy("step").collect()
     assert [(r.kind, r.route_id, r.from_node, r.to_node, r.rows, r.walk_mm) for r in got] == [("ride", 1, 3, 10, 1, 0), ("walk", None, 10, 410, 0, 0), ("ride", 2, 410, 42, 1, 0)]
     assert max(counts) == n
+
+
+def test_steps_shuffle_no_states_by_segment_and_leave_no_shuffles(spark, tmp_path, monkeypatch):
+    crowded(spark, tmp_path)
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: str(blocks.getAllFiles().mkString(" ")).count("shuffle_")
+    plans, save, before = [], storage.saved, files()
+
+    def saved(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df)
+
+    monkeypatch.setattr(storage, "saved", saved)
+    monkeypatch.setattr(storage, "PASS_BYTES", 1, raising=False)  # several passes
+    monkeypatch.setattr(journeys, "FEW", 0)  # as over labels that are too many to broadcast
+    got = QUERIES["journey_steps"](spark, str(tmp_path))
+    # before: the rows of all routes, once for each join that rides or closes
+    assert plans and not [p for p in plans if re.search(r"hashpartitioning\(route_id#\d+L, segment_id#\d+L, \d+\)", p)]
+    until = time.time() + 20
+    while files() > before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert files() <= before
+    assert [(r.kind, r.route_id, r.from_node, r.to_node) for r in got.orderBy("step").collect()] == [("ride", 1, 3, 10), ("walk", None, 10, 410), ("ride", 2, 410, 42)]
+
+
+def test_dealt_tables_are_whole(spark, monkeypatch):
+    df = spark.range(200).selectExpr("nullif(id % 23, 0) as a", "id")
+    want = sorted((r.id, r.a) for r in df.collect())
+    for size in (1, 1 << 26):
+        monkeypatch.setattr(storage, "PASS_BYTES", size)
+        conf = dict(spark.conf.getAll)
+        with storage.lean(spark):
+            out = storage.saved(storage.dealt(df, "a"))
+            both = out.join(df.hint("merge"), ["a", "id"])
+            assert both._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sorted((r.id, r.a) for r in out.collect()) == want and both.count() == 191
+        assert dict(spark.conf.getAll) == conf
+        assert not [t for t in spark.catalog.listTables("spark_catalog.default") if t.name.startswith("tables_")]
+        storage.dropped(out)
+        assert not storage.listed(spark, out._saved_at)
